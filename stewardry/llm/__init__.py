@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: The modules that hold queries and their SQL.
-MODULES: tuple[str, ...] = ()
+MODULES: tuple[str, ...] = ("bitmap_queries", "mixing_queries")
 
 
 def query_modules() -> list:
