@@ -27,8 +27,11 @@ def rounds_for(chunks: int, fan_in: int) -> int:
     return max(1, math.ceil(math.log(max(chunks, 1)) / math.log(fan_in) - 1e-9))
 
 
-def _chunks(df: DataFrame, chunk_rows: int) -> int:
-    rows = df.select(F.lit(1)).count()  # answered from the file footers where the source keeps them
+def _rows(df: DataFrame) -> int:
+    return df.select(F.lit(1)).count()  # answered from the file footers where the source keeps them
+
+
+def _chunks(df: DataFrame, rows: int, chunk_rows: int) -> int:
     return rows // chunk_rows + df.rdd.getNumPartitions()
 
 
@@ -52,7 +55,7 @@ def tree_aggregate(
     values are skipped by sum, min, max and count of a column; an empty table
     gives no rows; other columns are ignored, whatever their names.
     """
-    rounds = rounds_for(_chunks(df, chunk_rows) if chunks is None else chunks, fan_in)
+    rounds = rounds_for(_chunks(df, _rows(df), chunk_rows) if chunks is None else chunks, fan_in)
     slot = free_name(df.select(*keys), "slot")
     leaf = [F.col(k) for k in keys]
     values = {n: (kind, None if c is None else (F.col(c) if isinstance(c, str) else c)) for n, (kind, c) in aggregates.items()}
@@ -79,7 +82,7 @@ def tree_latest(
     anything, so a slot receives ``fan_in * k`` rows of a key. Ties are broken by
     all remaining columns; nulls in ``order`` come last; whole repeats keep a rank each.
     """
-    rounds = rounds_for(_chunks(df, chunk_rows) if chunks is None else chunks, fan_in)
+    rounds = rounds_for(_chunks(df, _rows(df), chunk_rows) if chunks is None else chunks, fan_in)
     slot, rank = free_name(df, "slot"), free_name(df, "rank")
     ties = [c for c in df.columns if c not in {*order, *keys}]
     last = [F.col(c).desc_nulls_last() for c in [*order, *ties]]
@@ -100,9 +103,7 @@ def unpivot_keys(df: DataFrame, fields: Sequence[str], keep: Sequence[Column]) -
 
 def heavy_keys(df: DataFrame, fields: Sequence[str], share: float, fan_in: int = 32, chunk_rows: int = 65536) -> DataFrame:
     """The non-null key values that hold at least ``share`` of all rows: (key_field, key_value, n_rows)."""
+    total = _rows(df)
     rows = unpivot_keys(df, fields, [])
-    counts = tree_aggregate(rows, ["key_field", "key_value"], {"n_rows": ("count", None)}, chunk_rows, fan_in, _chunks(df, chunk_rows))
-    # every row has one value (or null) per field, so one field's counts add up to all rows
-    total = counts.where(F.col("key_field") == fields[0]).agg(F.sum("n_rows").alias("total"))
-    found = counts.crossJoin(F.broadcast(total)).where(F.col("key_value").isNotNull() & (F.col("n_rows") >= F.col("total") * share))
-    return found.select("key_field", "key_value", "n_rows")
+    counts = tree_aggregate(rows, ["key_field", "key_value"], {"n_rows": ("count", None)}, chunk_rows, fan_in, _chunks(df, total, chunk_rows))
+    return counts.where(F.col("key_value").isNotNull() & (F.col("n_rows") >= total * share))
