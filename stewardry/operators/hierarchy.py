@@ -16,6 +16,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,8 +25,8 @@ from stewardry.runtime import cut
 
 ROOT, MISSING, CYCLE, BELOW = "ok", "missing_parent", "cycle", "below_cycle"
 
-#: Rows (of seven small columns) up to which the unresolved nodes are broadcast; more are joined by shuffle.
-BROADCAST_ROWS = 50_000
+#: Unresolved nodes (two numbers each) that one task may follow to the end; more go on doubling across all tasks.
+SOLVE_ROWS = 500_000
 
 _NODE = "node bigint, parent bigint, thread bigint, component bigint, top_thread bigint, top_missing boolean"
 _OUT = "node bigint, parent bigint, component bigint, root bigint, depth int, state string, wrong_thread boolean, n_descendants bigint, path array<bigint>"
@@ -38,8 +39,31 @@ def links(df: DataFrame, node: str, parent: str, thread: str | None = None) -> D
     return one.select("node", "v.parent", "v.thread")
 
 
-def components(nodes: DataFrame) -> DataFrame:
-    """Adds component, top_thread (null in cyclic components) and top_missing to (node, parent, thread)."""
+def _solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Within one bounded set of (node, ptr): the pointer by which each node leaves the set, or its cycle's least node."""
+    held = pd.concat(list(batches), ignore_index=True)
+    if held.empty:
+        return
+    held = held.sort_values("node", ignore_index=True)
+    node, ptr = held["node"].to_numpy(np.int64), held["ptr"].to_numpy(np.int64)
+    n = len(node)
+    at = np.minimum(np.searchsorted(node, ptr), n - 1)
+    inside = node[at] == ptr
+    jump, least = np.where(inside, at, np.arange(n)), node.copy()
+    for _ in range(n.bit_length() + 1):
+        least, jump = np.minimum(least, least[jump]), jump[jump]
+    loose = inside[jump]  # still inside after more steps than there are nodes
+    held["exit"] = np.where(loose, least[jump], ptr[jump])
+    held["cyclic"] = loose
+    yield held[["node", "exit", "cyclic"]]
+
+
+def components(nodes: DataFrame, solve_rows: int = SOLVE_ROWS) -> DataFrame:
+    """Adds component, top_thread (null in cyclic components) and top_missing to (node, parent, thread).
+
+    Pointer doubling over all nodes goes on until at most ``solve_rows`` nodes are
+    unresolved; those are few enough for one task to follow to the end.
+    """
     base = nodes.alias("a").join(nodes.select(F.col("node").alias("there")), F.col("a.parent") == F.col("there"), "left")
     state = base.select(
         "node", "parent", "thread",
@@ -50,25 +74,28 @@ def components(nodes: DataFrame) -> DataFrame:
     )
     state = cut(state)
     resolved, active = [state.where("done")], state.where(~F.col("done"))
-    left = active.count()
-    while left:
+    left, stuck = active.count(), False
+    while left > solve_rows and not stuck:
         known = reduce(DataFrame.unionByName, resolved, active)
         ahead = known.select(F.col("node").alias("at"), F.col("ptr").alias("ptr2"), F.col("done").alias("done2"), F.col("top_thread").alias("thread2"), F.col("top_missing").alias("missing2"))
-        few = left <= BROADCAST_ROWS
-        met = ahead.join(F.broadcast(active) if few else active, F.col("ptr") == F.col("at"))
-        met = met.coalesce(nodes.sparkSession.sparkContext.defaultParallelism) if few else met  # the union's splits must not add up
-        moved = cut(met.select(
+        moved = cut(active.join(ahead, F.col("ptr") == F.col("at")).select(
             "node", "parent", "thread", F.col("ptr2").alias("ptr"), F.col("done2").alias("done"), F.col("thread2").alias("top_thread"), F.col("missing2").alias("top_missing")
         ))
         resolved.append(moved.where("done"))
         active = moved.where(~F.col("done"))
         still = active.count()
-        if still == left:  # no depth between 2^r and 2^(r+1): what is left has no top at all
-            break
+        stuck = still == left  # no depth between 2^r and 2^(r+1): what is left has no top at all
         left = still
-    tree = reduce(DataFrame.unionByName, resolved).select("node", "parent", "thread", F.col("ptr").alias("component"), "top_thread", "top_missing")
+    columns = ["node", "parent", "thread", F.col("ptr").alias("component"), "top_thread", "top_missing"]
+    tree = reduce(DataFrame.unionByName, resolved).select(*columns)
     if not left:
         return tree
+    if left <= solve_rows:
+        ends = active.select("node", "ptr").coalesce(1).mapInPandas(_solve, "node bigint, exit bigint, cyclic boolean")
+        tops = reduce(DataFrame.unionByName, resolved).select(F.col("node").alias("exit"), F.col("ptr").alias("top"), "top_thread", "top_missing")
+        met = active.drop("top_thread", "top_missing").join(ends, "node").join(tops, "exit", "left")
+        # the least node of a cycle is not among the resolved ones, so it meets no top
+        return tree.unionByName(met.select("node", "parent", "thread", F.coalesce("top", "exit").alias("component"), "top_thread", F.coalesce("top_missing", F.lit(False)).alias("top_missing")))
     ring = cut(active.select("node", "parent", "thread", F.col("parent").alias("ptr"), F.col("node").alias("least")))
     steps = 1
     while steps < 2 * left:
@@ -201,7 +228,7 @@ def _doubled(giant: DataFrame, paths: bool) -> DataFrame:
     return straight.unionByName(round_)
 
 
-def hierarchy(df: DataFrame, node: str, parent: str, thread: str | None = None, paths: bool = True, max_component: int = 200_000) -> DataFrame:
+def hierarchy(df: DataFrame, node: str, parent: str, thread: str | None = None, paths: bool = True, max_component: int = 200_000, solve_rows: int = SOLVE_ROWS) -> DataFrame:
     """One row per node: node, parent, component, root, depth, state, wrong_thread, n_descendants, path (root first).
 
     state: ``ok``, ``missing_parent`` (the node's own parent does not exist; it
@@ -210,7 +237,7 @@ def hierarchy(df: DataFrame, node: str, parent: str, thread: str | None = None,
     thread (both not null). Null nodes are left out, repeated rows merge, a node
     that is its own parent is a cycle, an empty table gives no rows, further columns are ignored.
     """
-    labelled = cut(components(links(df, node, parent, thread)))
+    labelled = cut(components(links(df, node, parent, thread), solve_rows))
     columns = [c.split()[0] for c in _NODE.split(", ")]
     giants = labelled.groupBy("component").count().where(F.col("count") > max_component).select("component")
     giants = cut(giants)
