@@ -95,5 +95,6 @@ def report(placed: DataFrame, full: DataFrame) -> DataFrame:
     share = F.when(F.col("all_tokens") > 0, F.col("tokens") / F.col("all_tokens")).otherwise(0.0)
     return out.select(
         "mix_id", "source", "target_share", share.alias("actual_share"), "tokens", F.coalesce("uses", zero).alias("uses"),
-        F.coalesce(F.col("repeats"), F.lit(0)).alias("repeats"), "own", "total", (F.col("most") < F.col("demand")).alias("short"),
+        F.coalesce(F.col("repeats"), F.lit(0)).alias("repeats"), "own", "total",
+        ((F.col("tokens") == F.col("most")) & (F.col("most") < F.col("demand"))).alias("short"),  # used up and still below its demand
     )
