@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: The modules that hold queries and their SQL.
-MODULES: tuple[str, ...] = ("pii_queries", "bitmap_queries", "packing_queries", "mixing_queries", "looks_queries")
+MODULES: tuple[str, ...] = ("pii_queries", "bitmap_queries", "markup_queries", "packing_queries", "mixing_queries", "looks_queries")
 
 
 def query_modules() -> list:
