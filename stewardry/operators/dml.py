@@ -12,6 +12,7 @@ from stewardry.functions.compat import is_in, minus, plus
 from stewardry.operators.ownership import owners
 from stewardry.plans.catalog import Catalog, CatalogError, Table
 from stewardry.plans.graph import edges, owned_tables
+from stewardry.runtime import cut
 
 WEIGHT = "_w"
 
@@ -24,7 +25,7 @@ class Change:
     contents: DataFrame
     delta: DataFrame
     count: int = 0
-    orphans: dict[str, list] = field(default_factory=dict)
+    orphans: dict[str, DataFrame] = field(default_factory=dict)
     counters: dict[str, int] = field(default_factory=dict)
 
 
@@ -124,8 +125,8 @@ def _affected(catalog: Catalog, old: dict[str, DataFrame], new: dict[str, DataFr
     return out
 
 
-def _copies(catalog: Catalog, tables: dict[str, DataFrame], affected: dict[str, DataFrame]) -> dict[str, set]:
-    """By table: (pk, shard) of every copy of the affected rows."""
+def _copies(catalog: Catalog, tables: dict[str, DataFrame], affected: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """By table: (pk, shard) of every copy of the affected rows, the default shard being empty."""
     own = owners(catalog, tables)
     out = {}
     for name, pks in affected.items():
@@ -135,7 +136,7 @@ def _copies(catalog: Catalog, tables: dict[str, DataFrame], affected: dict[str,
             rows = rows.join(own[name], "pk", "left").select("pk", F.when(F.col("kind").isNull(), "").otherwise(F.concat_ws("/", "kind", "subject")).alias("shard"))
         else:
             rows = rows.withColumn("shard", F.lit(""))
-        out[name] = {(r.pk, r.shard) for r in rows.distinct().collect()}
+        out[name] = rows.distinct()
     return out
 
 
@@ -143,21 +144,25 @@ def settle(catalog: Catalog, tables: dict[str, DataFrame], t: Table, contents: D
     """Counts the copies that a change touches and finds the rows it orphans.
 
     ``moved``: None for inserts and deletes; for updates, whether an ownership
-    column changed. A statement changes few rows; their keys pass the driver.
+    column changed. Only the changed rows and what they own are looked at.
     """
     new = {**tables, t.name: contents}
-    pks = delta.select(F.col(t.key).alias("pk")).distinct()
+    pks = cut(delta.select(F.col(t.key).alias("pk")).distinct())
     affected = _affected(catalog, tables, new, t.name, pks)
     before, after = _copies(catalog, tables, affected), _copies(catalog, new, affected)
-    count = 0
-    for name in affected:
-        if name == t.name and moved is not None:
-            count += len(before[name]) + len(after[name]) if moved else len(after[name])
-        else:
-            count += len(before[name] ^ after[name])
     owned = owned_tables(catalog)
-    lost = {n: sorted({pk for pk, shard in after[n] - before[n] if not shard}, key=repr) for n in affected if n in owned and not catalog.table(n).data_subject}
-    return Change(t.name, contents, delta, count, {n: x for n, x in lost.items() if x})
+    count, lost = 0, {}
+    for name in affected:
+        both = before[name].withColumn("side", F.lit(1)).unionByName(after[name].withColumn("side", F.lit(2)))
+        sides = cut(both.groupBy("pk", "shard").agg(F.sum("side").alias("side")))
+        own_update = name == t.name and moved is not None
+        weight = F.when(F.col("side") == 3, 2 if moved else 1).when(F.col("side") == 2, 1).otherwise(1 if moved else 0) if own_update else (F.col("side") != 3).cast("int")
+        count += sides.agg(F.coalesce(F.sum(weight), F.lit(0))).first()[0]
+        if name in owned and not catalog.table(name).data_subject:
+            orphaned = sides.where((F.col("side") == 2) & (F.col("shard") == "")).select("pk")
+            if orphaned.limit(1).count():
+                lost[name] = orphaned
+    return Change(t.name, contents, delta, int(count), lost)
 
 
 def insert(catalog: Catalog, tables: dict[str, DataFrame], name: str, columns: list[str], values: list, counters: dict[str, int]) -> Change:

@@ -43,7 +43,7 @@ class Engine:
     def __init__(self, spark: SparkSession, root: str, compat: bool = False):
         self.spark, self.store, self.compat = spark, Store(spark, root), compat
         self.catalog = self.store.catalog
-        self.ctx: set[tuple[str, object]] | None = None
+        self.ctx: dict[str, DataFrame] | None = None
         self.auto_ctx = False
         self.prepared: dict[int, str] = {}
 
@@ -157,9 +157,11 @@ class Engine:
 
     def _change(self, change: dml.Change) -> Result:
         if change.orphans and self.ctx is None and not self.auto_ctx:
-            raise CatalogError(f"Orphaned data: {change.orphans}")
+            some = {n: [r.pk for r in df.limit(5).collect()] for n, df in change.orphans.items()}
+            raise CatalogError(f"Orphaned data: {some}")
         if self.ctx is not None:
-            self.ctx |= {(n, pk) for n, pks in change.orphans.items() for pk in pks}
+            for name, pks in change.orphans.items():
+                self.ctx[name] = self.ctx[name].unionByName(pks) if name in self.ctx else pks
         self.store.commit({change.table: change.contents}, change.counters)
         return Result(updated=change.count)
 
@@ -195,14 +197,13 @@ class Engine:
     def _ctx(self, s: ddl.Statement) -> Result:
         """Rows that lost or never had an owner since START must have one at COMMIT; ROLLBACK forgets what it watched and keeps the data."""
         if s.name == "START":
-            self.ctx = set()
+            self.ctx = {}
         elif s.name == "ROLLBACK":
             self.ctx = None
         elif s.name == "COMMIT":
-            for name in {n for n, _ in self.ctx or ()}:
-                pks = [pk for n, pk in self.ctx if n == name]
+            for name, pks in (self.ctx or {}).items():
                 key = self.catalog.table(name).key
-                if orphans(self.catalog, self.tables, name).where(F.col(key).isin(pks)).limit(1).count():
+                if orphans(self.catalog, self.tables, name).join(pks.select(F.col("pk").alias(key)), key, "left_semi").limit(1).count():
                     raise CatalogError("Orphaned data detected")
             self.ctx = None
         else:
