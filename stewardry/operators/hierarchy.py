@@ -18,6 +18,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -116,7 +117,7 @@ def _traverse(nodes: list, parents: list, threads: list, component: int, top_thr
     children: list[list[int]] = [[] for _ in range(n)]
     start = -1
     for i, p in enumerate(parents):
-        j = at.get(p) if p is not None and p == p else None
+        j = at.get(p) if p is not None else None
         if j is None:
             start = i
         else:
@@ -153,23 +154,25 @@ def _traverse(nodes: list, parents: list, threads: list, component: int, top_thr
         )
 
 
+_ARROW = pa.schema(
+    [("node", pa.int64()), ("parent", pa.int64()), ("component", pa.int64()), ("root", pa.int64()), ("depth", pa.int32()), ("state", pa.string()), ("wrong_thread", pa.bool_()), ("n_descendants", pa.int64()), ("path", pa.list_(pa.int64()))]
+)
+
+
 def _co_located(paths: bool):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        columns = [c.split()[0] for c in _OUT.split(", ")]
 
-        def frame(rows: list[tuple]) -> pd.DataFrame:
-            return pd.DataFrame({c: pd.array(v, dtype="Int64") if c in {"node", "parent", "root", "n_descendants", "depth", "component"} else list(v) for c, v in zip(columns, zip(*rows))}, columns=columns)
+        def frame(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*rows), _ARROW)], schema=_ARROW)
 
-        def done(rows: list[tuple]) -> list[tuple]:
+        def done(rows: list[tuple]) -> Iterator[tuple]:
             n, p, t, c, top, missing = zip(*rows)
-            return list(_traverse(list(n), list(p), list(t), c[0], top[0], missing[0], paths))
+            return _traverse(list(n), list(p), list(t), c[0], top[0], missing[0], paths)
 
-        for batch in batches:
+        for batch in batches:  # a component may go on in the next batch
             out: list[tuple] = []
-            values = [[None if x is pd.NA or x != x else x for x in batch[c].astype(object)] for c in ("node", "parent", "thread", "component", "top_thread", "top_missing")]
-            for row in zip(*values):
-                row = tuple(int(x) if x is not None else None for x in row[:5]) + (bool(row[5]),)
+            for row in zip(*[batch.column(c).to_pylist() for c in ("node", "parent", "thread", "component", "top_thread", "top_missing")]):
                 if held and held[0][3] != row[3]:
                     out += done(held)
                     held = []
@@ -177,7 +180,7 @@ def _co_located(paths: bool):
             if out:
                 yield frame(out)
         if held:
-            yield frame(done(held))
+            yield frame(list(done(held)))
 
     return run
 
@@ -244,7 +247,7 @@ def hierarchy(df: DataFrame, node: str, parent: str, thread: str | None = None,
     some = giants.limit(1).count() > 0
     small = labelled.join(giants, "component", "left_anti") if some else labelled
     near = small.select(*columns).repartition("component").sortWithinPartitions("component", "node")
-    result = near.mapInPandas(_co_located(paths), _OUT)
+    result = near.mapInArrow(_co_located(paths), _OUT)
     if some:
         result = result.unionByName(_doubled(labelled.join(giants, "component", "left_semi").select(*columns), paths))
     return result

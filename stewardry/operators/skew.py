@@ -56,7 +56,7 @@ def tree_aggregate(
     gives no rows; other columns are ignored, whatever their names.
     """
     rounds = rounds_for(_chunks(df, _rows(df), chunk_rows) if chunks is None else chunks, fan_in)
-    slot = free_name(df.select(*keys), "slot")
+    slot = free_name(df, "slot")
     leaf = [F.col(k) for k in keys]
     values = {n: (kind, None if c is None else (F.col(c) if isinstance(c, str) else c)) for n, (kind, c) in aggregates.items()}
     state = df.withColumn(slot, _slot(chunk_rows, fan_in ** (rounds - 1))).groupBy(*leaf, F.col(slot))
