@@ -121,7 +121,7 @@ def normalise(df: DataFrame, text: str = "text", out: str = "look") -> DataFrame
     """Adds the text's one form as column ``out``."""
     spark = df.sparkSession
     out = free_name(df, out)
-    key, plain, parts = free_name(df, "text_key"), free_name(df, "plain"), free_name(df, "parts")
+    key, plain, parts, k = (free_name(df, x) for x in ("text_key", "plain", "parts", "k"))
     base = df.withColumn(plain, F.replace(F.col(text), F.lit("\r\n"), F.lit("\n")))
     strange = F.coalesce(F.col(plain).rlike(r"[^ -~\n]"), F.lit(False))
     odd = base.where(strange).withColumn(key, sha_key(plain))
@@ -132,8 +132,8 @@ def normalise(df: DataFrame, text: str = "text", out: str = "look") -> DataFrame
     near = marked.where(F.col("hot_form").isNotNull()).select("k", "at", F.col("hot_form").alias("form"))
     cold = forms.join(F.broadcast(hot), "stretch", "left_anti").select("stretch", "form")
     far = marked.where(F.col("hot_form").isNull()).join(cold, "stretch").select("k", "at", "form")
-    rebuilt = near.unionByName(far).groupBy("k").agg(F.array_sort(F.collect_set(F.struct("at", "form"))).alias(parts))
-    known = odd.join(rebuilt, F.col(key) == F.col("k"))
+    rebuilt = near.unionByName(far).groupBy(F.col("k").alias(k)).agg(F.array_sort(F.collect_set(F.struct("at", "form"))).alias(parts))
+    known = odd.join(rebuilt, F.col(key) == F.col(k))
     between = F.split(F.col(plain), STRETCH, -1)
     joined = F.zip_with(between, F.array_append(F.transform(parts, lambda x: x["form"]), F.lit("")), lambda a, b: F.concat(a, b))
     changed = known.select(*df.columns, F.array_join(joined, "").alias(out))

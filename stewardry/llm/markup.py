@@ -26,7 +26,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -113,7 +113,7 @@ _INLINE = re.compile(
   | (?P<w_tpl>\{\{(?:[^{}]|\{\{[^{}]*\}\})*\}\})
   | (?P<w_word>__[A-Z]{3,}__)
   | (?P<t_group>\{\\(?:it|bf|em|tt|sc|rm|sl|sf|small|large|tiny|bfseries|itshape|ttfamily)\b[^{}]*\})
-  | (?P<t_cmd>(?<![\w:\\])\\[a-z]+\*?(?:\[[^\]\n]*\])?(?:\{(?:[^{}]|\{[^{}]*\})*\})+)
+  | (?P<t_cmd>(?:~|(?<![\w:\\]))\\[a-z]+\*?(?:\[[^\]\n]*\])?(?:\{(?:[^{}]|\{[^{}]*\})*\})+)
   | (?P<t_bare>(?<![\w:\\])\\[a-z]{2,}\*?(?![\w\\{]))
   | (?P<t_esc>(?<![\w:\\])\\[%&_\#{}$])
     )
@@ -453,6 +453,7 @@ def _strip(text: str, n: Node) -> str:
     if n.seen == "t_esc":
         return raw[1:]
     if n.seen in {"t_cmd", "t_group"}:
+        raw = raw.lstrip("~")
         if re.match(r"\\(?:cite\w*|label|ref|footnote|includegraphics|bibliography)\b", raw):
             return ""
         last = re.search(r"\{((?:[^{}]|\{[^{}]*\})*)\}$", raw)
@@ -510,36 +511,39 @@ def clean(model: Model, text: str) -> str:
 # --- over tables --------------------------------------------------------------------
 
 
-def _possible(text: str = "text"):
-    return F.coalesce(F.col(text).rlike(POSSIBLE), F.lit(False))
+def _possible():
+    return F.coalesce(F.col("text_").rlike(POSSIBLE), F.lit(False))
 
 
 def _analyse(model: Model, cleaned: bool):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found, out = [], []
-            for text in batch["text"]:
+            for text in batch.column("text_").to_pylist():
                 nodes = decide(model, parse(text))
                 found.append(sorted(elements(nodes)))
                 if cleaned:
                     out.append(clean(model, text))
-            made = batch.drop(columns="text").assign(elements=found)
-            yield made.assign(clean=out) if cleaned else made
+            made = batch.drop_columns(["text_"]).append_column("elements", pa.array(found, pa.list_(pa.string())))
+            yield made.append_column("clean", pa.array(out, pa.string())) if cleaned else made
 
     return run
 
 
+def _rows(docs: DataFrame, keys: list[str], text: str) -> tuple[DataFrame, str]:
+    rows = docs.select(*keys, F.col(text).alias("text_"))
+    return rows, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.drop("text_").schema)
+
+
 def find_elements(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """(keys, elements): the kinds of elements marked up in each text that has any possible mark."""
-    rows = docs.select(*keys, F.col(text).alias("text")).where(_possible())
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.drop("text").schema)
-    return rows.mapInPandas(_analyse(train(), False), f"{schema}, elements array<string>").where(F.size("elements") > 0)
+    rows, schema = _rows(docs, keys, text)
+    return rows.where(_possible()).mapInArrow(_analyse(train(), False), f"{schema}, elements array<string>").where(F.size("elements") > 0)
 
 
 def clean_texts(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """(keys, clean, elements) of every row."""
-    rows = docs.select(*keys, F.col(text).alias("text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.drop("text").schema)
-    marked = rows.where(_possible()).mapInPandas(_analyse(train(), True), f"{schema}, elements array<string>, clean string")
-    bare = rows.where(~_possible()).select(*keys, F.array().cast("array<string>").alias("elements"), F.col("text").alias("clean"))
+    rows, schema = _rows(docs, keys, text)
+    marked = rows.where(_possible()).mapInArrow(_analyse(train(), True), f"{schema}, elements array<string>, clean string")
+    bare = rows.where(~_possible()).select(*keys, F.array().cast("array<string>").alias("elements"), F.col("text_").alias("clean"))
     return marked.unionByName(bare)

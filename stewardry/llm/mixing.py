@@ -11,8 +11,8 @@ Sizes are tokens of a byte-level tokenizer: bytes of the UTF-8 text plus one end
 Defined cases: a null text counts as empty (size 1); sources compare without
 case and outer blanks; a null source belongs to none; a source of the plan
 without documents is reported with no tokens; equal documents are placed each;
-plan rows repeated for one mix and source count once, the first by share and
-repeats; an empty plan gives no rows; further columns are ignored.
+plan rows repeated for one mix and source count once, the least by share and
+repeats, and those with nulls not at all; an empty plan gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,7 +34,8 @@ def source_key(source: str | Column = "source") -> Column:
 def plan_with_totals(sized: DataFrame, plan: DataFrame, slope: float) -> DataFrame:
     """The plan with each source's own tokens, the mix's total, the demanded and reached tokens, passes and slope."""
     own = sized.groupBy("key").agg(F.sum("size").alias("own"))
-    plan = plan.dropDuplicates(["mix_id", "source"]).withColumn("key", source_key())
+    plan = plan.groupBy("mix_id", "source").agg(F.min(F.struct("target_share", "max_repeats")).alias("p")).select("mix_id", "source", "p.*")
+    plan = plan.where(F.col("source").isNotNull() & F.col("target_share").isNotNull() & F.col("max_repeats").isNotNull()).withColumn("key", source_key())
     full = plan.join(own, "key", "left").withColumn("own", F.coalesce("own", F.lit(0)))
     mix = Window.partitionBy("mix_id")  # a plan's few rows
     full = full.withColumn("total", F.sum("own").over(mix))

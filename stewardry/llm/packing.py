@@ -39,7 +39,8 @@ SLOTS = 1 << 18
 K1, B = 1.2, 0.75
 
 _WORD = re.compile(r"\w+")
-_OUT = "pack_id bigint, container string, doc_id bigint, piece int, n_pieces int, start bigint, tokens bigint, capacity bigint"
+#: The identifier passes Python as text, which is exact and may be null.
+_OUT = "pack_id bigint, container string, doc_id string, piece int, n_pieces int, start bigint, tokens bigint, capacity bigint"
 
 
 def _slot(word: str, known: dict[str, int]) -> int:
@@ -207,7 +208,7 @@ def pack(docs: DataFrame, specs: DataFrame, shard_docs: int = 1024, shard_bytes:
     named = [k for k in dict.fromkeys(k for _, k, _ in tasks) if k is not None]
     own = F.when(source_key().isin(named), F.concat(F.lit("="), source_key())) if named else F.lit(None).cast("string")
     groups = F.array_compact(F.array(F.lit("") if any(k is None for _, k, _ in tasks) else F.lit(None).cast("string"), own))
-    items = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", tokens().alias("size"), F.explode(groups).alias("group"))
+    items = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text", tokens().alias("size"), F.explode(groups).alias("group"))
     sizes = {r.group: max(1, -(-r.n // shard_docs), -(-r.bytes // shard_bytes)) for r in items.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes")).collect()}
     count = F.create_map(*[F.lit(x) for pair in (sizes or {"": 1}).items() for x in pair])[F.col("group")]
     items = items.withColumn("shard", F.pmod(F.xxhash64("doc_id"), count))
@@ -215,11 +216,12 @@ def pack(docs: DataFrame, specs: DataFrame, shard_docs: int = 1024, shard_bytes:
     packed = cut(near.mapInPandas(_shards(tasks, shared, mean, tolerance), _OUT))
     loose = packed.where(F.col("container").isNull())
     left = {r.pack_id: max(1, -(-r.n // released)) for r in loose.groupBy("pack_id").agg(F.count(F.lit(1)).alias("n")).collect()}
+    exact = [F.col(c).cast("bigint") if c == "doc_id" else F.col(c) for c in packed.columns]
     if not left:
-        return packed
+        return packed.select(*exact)
     buckets = F.create_map(*[F.lit(x) for pair in left.items() for x in pair])[F.col("pack_id")]
     loose = loose.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), buckets))
-    return packed.where(F.col("container").isNotNull()).unionByName(loose.groupBy("pack_id", "bucket").applyInPandas(_best_fit, _OUT))
+    return packed.where(F.col("container").isNotNull()).unionByName(loose.groupBy("pack_id", "bucket").applyInPandas(_best_fit, _OUT)).select(*exact)
 
 
 def fill_report(packed: DataFrame) -> DataFrame:
