@@ -99,10 +99,10 @@ _INLINE = re.compile(
   | (?P<h_cut><[a-z][\w:-]*(?:\s+[\w:-]+\s*=\s*(?:"[^"<>\n]*|'[^'<>\n]*|[^\s"'<>]+))?(?=\Z|\n)|</?[a-z][\w:-]*\Z)
   | (?P<h_ent>&(?:\#\d{1,7}|\#x[0-9a-f]{1,6}|[a-z][a-z0-9]{1,31});)
   | (?P<m_code>(?<!`)(?P<tick>`{1,2})(?!`)[^`\n]+(?P=tick)(?!`))
-  | (?P<m_link>!?\[[^\]\n]*\]\([^)\s]*(?:[ ]"[^"\n]*")?\))
+  | (?P<m_link>!?\[[^\[\]\n]*\]\((?:[^()\s]|\([^()\s]*\))*(?:[ ]"[^"\n]*")?\))
   | (?P<m_fn>\[\^[\w-]+\])
   | (?P<m_auto><https?://[^>\s]+>)
-  | (?P<m_ref>\[[^\]\n]+\]\[[^\]\n]*\])
+  | (?P<m_ref>\[[^\[\]\n]+\]\[[^\[\]\n]*\])
   | (?P<m_strong>(?<![\w*])(?P<st>\*{2,3})(?=[^\s*])[^*\n]+?(?<=[^\s*])(?P=st)(?![\w*]))
   | (?P<m_em>(?<![\w*])\*(?=[^\s*])[^*\n]+?(?<=[^\s*])\*(?![\w*]))
   | (?P<m_us>(?<![\w_])(?P<us>_{1,3})(?=[^\s_])[^_\n]+?(?<=[^\s_])(?P=us)(?![\w_]))
@@ -217,8 +217,8 @@ def _log_dot(matrix: np.ndarray, message: np.ndarray) -> np.ndarray:
     return np.log(np.exp(matrix) @ np.exp(message - most)) + most
 
 
-def marginals(model: Model, tops: tuple) -> dict[tuple, np.ndarray]:
-    """Posterior marginals by signature path of a tree given as signatures, by two passes of sum-product messages.
+def marginals(model: Model, tops: tuple) -> dict[tuple, tuple[np.ndarray, dict]]:
+    """By signature: posterior marginals and the same of the children, by two passes of sum-product messages.
 
     Equal subtrees under one parent have equal marginals, so each is computed once
     and counts as often as it occurs.
@@ -237,26 +237,25 @@ def marginals(model: Model, tops: tuple) -> dict[tuple, np.ndarray]:
     to_root = {sig: _log_dot(model.top, up) for sig, up in ups.items()}
     count = Counter(tops)
     root = model.root + sum((n * to_root[s] for s, n in count.items()), np.zeros(len(ROOTS)))
-    out: dict[tuple, np.ndarray] = {}
 
-    def downward(path: tuple, sig: tuple, outside: np.ndarray) -> None:
+    def downward(sig: tuple, outside: np.ndarray) -> tuple[np.ndarray, dict]:
         """``outside``: log-message from everything that is not below this node, over its states."""
         seen, children = sig
-        own = model.emission(seen) + outside
         counted = Counter(children)
         ins = {c: upward(c) for c in counted}
         sent = {c: np.log(below_p @ np.exp(i - i.max())) + i.max() for c, i in ins.items()}
-        full = own + sum((n * sent[c] for c, n in counted.items()), np.zeros(len(STATES)))
+        full = model.emission(seen) + outside + sum((n * sent[c] for c, n in counted.items()), np.zeros(len(STATES)))
         p = np.exp(full - full.max())
-        out[path] = p / p.sum()
+        inside = {}
         for c in counted:
             rest = full - sent[c]
-            down = np.log(np.exp(rest - rest.max()) @ below_p + 1e-300)
-            downward((*path, c), c, down)
+            inside[c] = downward(c, np.log(np.exp(rest - rest.max()) @ below_p + 1e-300))
+        return p / p.sum(), inside
 
+    out = {}
     for sig in count:
         rest = root - to_root[sig]
-        downward((sig,), sig, np.log(np.exp(rest - rest.max()) @ top_p + 1e-300))
+        out[sig] = downward(sig, np.log(np.exp(rest - rest.max()) @ top_p + 1e-300))
     return out
 
 
@@ -274,23 +273,23 @@ def decide(model: Model, nodes: list[Node]) -> list[Node]:
     if best is None:
         if len(model.memo) >= _MEMO:
             model.memo.clear()
-        best = {}
-        for path, p in marginals(model, tops).items():
-            by = p @ _OF_LABEL
-            best[path] = LABELS[int(np.argmax(by))]
-        model.memo[tops] = best
-
-    def walk(node: Node, path: tuple) -> None:
-        path = (*path, _signature(node))
-        node.label = best[path]
-        for c in node.children:
-            walk(c, path)
+        best = _labels(marginals(model, tops))
+        if len(tops) <= 64:
+            model.memo[tops] = best
 
-    for n in nodes:
-        walk(n, ())
+    def walk(many: list[Node], known: dict) -> None:
+        for n in many:
+            n.label, inside = known[_signature(n)]
+            walk(n.children, inside)
+
+    walk(nodes, best)
     return nodes
 
 
+def _labels(known: dict) -> dict:
+    return {sig: (LABELS[int(np.argmax(p @ _OF_LABEL))], _labels(inside)) for sig, (p, inside) in known.items()}
+
+
 def elements(nodes: list[Node]) -> set[str]:
     """The kinds of elements marked up in a decided tree; what lies in code or formulas is theirs."""
     out: set[str] = set()

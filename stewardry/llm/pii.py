@@ -22,6 +22,7 @@ import hashlib
 import hmac
 import re
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -142,12 +143,13 @@ class Detector:
 
     def find(self, text: str) -> list[tuple[int, int, str]]:
         """(start, end, type), in order and without overlaps."""
-        found: list[tuple[int, int, str]] = []
+        found: list[tuple[int, int, str]] = []  # in order
         low = text.lower()
 
         def add(start: int, end: int, kind: str) -> None:
-            if all(end <= a or start >= b for a, b, _ in found):
-                found.append((start, end, kind))
+            at = bisect_left(found, (start, end, kind))
+            if (not at or found[at - 1][1] <= start) and (at == len(found) or end <= found[at][0]):
+                found.insert(at, (start, end, kind))
 
         if "@" in text or "＠" in text or "at" in low and ("dot" in low or "(at" in low or "[at" in low or "AT " in text or "{at" in low):
             for m in EMAIL.finditer(text):
@@ -178,7 +180,7 @@ class Detector:
                 add(m.start(), m.end(), "PHONE")
         for a, b in self._names(text, low, words):
             add(a, b, "NAME")
-        return sorted(found)
+        return found
 
     def _names(self, text: str, low: str, words: set[str]) -> Iterator[tuple[int, int]]:
         if any(x in low for x in CUES_BEFORE):
