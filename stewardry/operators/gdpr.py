@@ -13,8 +13,8 @@ from stewardry.plans.catalog import Catalog, Rule
 
 def _with_via(df: DataFrame, key: str, found: DataFrame) -> DataFrame:
     """The found rows once each, with the set of foreign keys that lead to them."""
-    via = found.groupBy("pk").agg(F.array_sort(F.collect_set("via")).alias("via_"))
-    return df.join(via, F.col(key) == F.col("pk")).drop("pk")
+    via = found.groupBy(F.col("pk").alias("pk__")).agg(F.array_sort(F.collect_set("via")).alias("via_"))
+    return df.join(via, F.col(key) == F.col("pk__")).drop("pk__")
 
 
 def _apply(df: DataFrame, rules: list[Rule], names: list[str]) -> DataFrame:

@@ -36,13 +36,13 @@ def owners(catalog: Catalog, tables: dict[str, DataFrame], wanted: set[str] | No
             if not e.reverse and parent.data_subject and not owned.get(e.parent):
                 ways.append(df.where(F.col(e.column).isNotNull()).select(pk, F.lit(e.parent).alias("kind"), F.col(e.column).cast("string").alias("subject")))
                 continue
-            above = out[e.parent].withColumnRenamed("pk", "at")
+            above = out[e.parent].withColumnRenamed("pk", "at__")
             if e.reverse:
-                link = tables[e.parent].select(F.col(parent.key).alias("at"), F.col(e.column).alias("pk")).where(F.col("pk").isNotNull())
+                link = tables[e.parent].select(F.col(parent.key).alias("at__"), F.col(e.column).alias("pk")).where(F.col("pk").isNotNull())
                 link = link.join(df.select(pk), "pk", "left_semi")
             else:
-                link = df.select(pk, F.col(e.column).alias("at")).where(F.col("at").isNotNull())
-            ways.append(link.join(above, "at").select("pk", "kind", "subject"))
+                link = df.select(pk, F.col(e.column).alias("at__")).where(F.col("at__").isNotNull())
+            ways.append(link.join(above, "at__").select("pk", "kind", "subject"))
         if ways:
             out[name] = reduce(DataFrame.unionByName, ways).distinct() if len(ways) > 1 or not t.data_subject else ways[0]
     return out if wanted is None else {k: v for k, v in out.items() if k in wanted}
@@ -76,16 +76,16 @@ def ownership_index(catalog: Catalog, tables: dict[str, DataFrame], name: str, c
         if parent.data_subject and not e.reverse:
             ways.append(df.where(F.col(e.column).isNotNull()).select(F.col(column).alias("_col"), F.col(e.column).cast("string").alias("_shard"), F.lit(1).cast("bigint").alias("_c")))
         elif e.reverse and parent.data_subject:
-            link = tables[e.parent].select(F.col(parent.key).cast("string").alias("_shard"), F.col(e.column).alias("at"))
-            ways.append(df.join(link, F.col(t.key) == F.col("at")).select(F.col(column).alias("_col"), "_shard", F.lit(1).cast("bigint").alias("_c")))
+            link = tables[e.parent].select(F.col(parent.key).cast("string").alias("_shard"), F.col(e.column).alias("at__"))
+            ways.append(df.join(link, F.col(t.key) == F.col("at__")).select(F.col(column).alias("_col"), "_shard", F.lit(1).cast("bigint").alias("_c")))
         else:
-            above = ownership_index(catalog, tables, e.parent, parent.key).withColumnRenamed("_col", "at")
+            above = ownership_index(catalog, tables, e.parent, parent.key).withColumnRenamed("_col", "at__")
             if e.reverse:
-                link = tables[e.parent].select(F.col(parent.key).alias("at"), F.col(e.column).alias("to")).where(F.col("to").isNotNull())
-                above = above.join(link, "at").drop("at").withColumnRenamed("to", "at")
-                ways.append(df.join(above, F.col(t.key) == F.col("at")).select(F.col(column).alias("_col"), "_shard", "_c"))
+                link = tables[e.parent].select(F.col(parent.key).alias("at__"), F.col(e.column).alias("to")).where(F.col("to").isNotNull())
+                above = above.join(link, "at__").drop("at__").withColumnRenamed("to", "at__")
+                ways.append(df.join(above, F.col(t.key) == F.col("at__")).select(F.col(column).alias("_col"), "_shard", "_c"))
             else:
-                ways.append(df.join(above, F.col(e.column) == F.col("at")).select(F.col(column).alias("_col"), "_shard", "_c"))
+                ways.append(df.join(above, F.col(e.column) == F.col("at__")).select(F.col(column).alias("_col"), "_shard", "_c"))
     if not ways:
         raise ValueError(f"nobody owns {name}")
     every = reduce(DataFrame.unionByName, ways)
@@ -105,12 +105,12 @@ def reach(catalog: Catalog, tables: dict[str, DataFrame], kind: str, subject: ob
 
     def step(e, parents: DataFrame) -> DataFrame:
         child, parent = catalog.table(e.child), catalog.table(e.parent)
-        at = parents.select(F.col("pk").alias("at")).distinct()
+        at = parents.select(F.col("pk").alias("at__")).distinct()
         if e.reverse:
-            links = tables[e.parent].join(at, F.col(parent.key) == F.col("at"), "left_semi").select(F.col(e.column).alias("at")).where(F.col("at").isNotNull()).distinct()
-            rows = tables[e.child].join(links, F.col(child.key) == F.col("at"), "left_semi")
+            links = tables[e.parent].join(at, F.col(parent.key) == F.col("at__"), "left_semi").select(F.col(e.column).alias("at__")).where(F.col("at__").isNotNull()).distinct()
+            rows = tables[e.child].join(links, F.col(child.key) == F.col("at__"), "left_semi")
         else:
-            rows = tables[e.child].join(at, F.col(e.column) == F.col("at"), "left_semi")
+            rows = tables[e.child].join(at, F.col(e.column) == F.col("at__"), "left_semi")
         return rows.select(F.col(child.key).alias("pk"), F.lit(e.via).alias("via"))
 
     for name in order(catalog):
