@@ -92,7 +92,8 @@ def components(nodes: DataFrame, solve_rows: int = SOLVE_ROWS) -> DataFrame:
     if not left:
         return tree
     if left <= solve_rows:
-        ends = active.select("node", "ptr").coalesce(1).mapInPandas(_solve, "node bigint, exit bigint, cyclic boolean")
+        # along parents, not along jumps: jumps of even length would split a cycle
+        ends = active.select("node", F.col("parent").alias("ptr")).coalesce(1).mapInPandas(_solve, "node bigint, exit bigint, cyclic boolean")
         tops = reduce(DataFrame.unionByName, resolved).select(F.col("node").alias("exit"), F.col("ptr").alias("top"), "top_thread", "top_missing")
         met = active.drop("top_thread", "top_missing").join(ends, "node").join(tops, "exit", "left")
         # the least node of a cycle is not among the resolved ones, so it meets no top

@@ -34,7 +34,7 @@ def result(spark, rows, **kw):
     return {r.node: r for r in hierarchy(df, "id", "parent", "thread", **kw).collect()}
 
 
-@pytest.mark.parametrize("limits", [{}, {"max_component": 2}, {"solve_rows": 0}, {"max_component": 0, "solve_rows": 3}])
+@pytest.mark.parametrize("limits", [{}, {"max_component": 2}, {"solve_rows": 0}, {"max_component": 0, "solve_rows": 3}, {"solve_rows": 60}, {"solve_rows": 45}])
 def test_random_forests_match_walking_up(spark, limits):
     rng = random.Random(str(limits))
     rows = []
@@ -42,6 +42,8 @@ def test_random_forests_match_walking_up(spark, limits):
         p = rng.choice([None, rng.randint(1, 140), rng.randint(max(1, i - 4), max(1, i - 1)), rng.randint(max(1, i - 4), max(1, i - 1))])
         rows.append((i, p, rng.choice([None, 1, 2])))
     rows += rows[:10]
+    # cycles of even length, with something below
+    rows += [(201, 202, 1), (202, 201, 1), (203, 202, 1), (211, 212, 1), (212, 213, 1), (213, 214, 1), (214, 211, 1), (215, 213, 1), (216, 215, 1)]
     want, got = brute(rows), result(spark, rows, **limits)
     assert set(got) == set(want)
     for i, (state, wrong, root, way) in want.items():
