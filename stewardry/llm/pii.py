@@ -85,7 +85,7 @@ ID_CUE = re.compile(
 )
 ID_BARE = re.compile(r"(?<![\w.-])(?:\d{3}-\d{2}-\d{4}|[A-CEGHJ-PR-TW-Z][A-Z] ?\d\d ?\d\d ?\d\d ?[A-D])(?![\w-])")
 
-_TOWN = rf"{_L}+(?:[ -](?:{_UP}{_L}+)){{0,2}}"
+_TOWN = rf"{_L}+(?:-{_L}+)*"
 _POST = rf"(?:[A-Z]{{1,2}}\d[A-Z\d]?{_B}\d[A-Z]{{2}}|\d{{5}}(?:-\d{{4}})?)"
 _TYPE = "(?:" + "|".join(STREETS) + ")"
 _NO = r"\d{1,5}[a-z]?"
@@ -185,7 +185,7 @@ class Detector:
     def _names(self, text: str, low: str, words: set[str]) -> Iterator[tuple[int, int]]:
         if any(x in low for x in CUES_BEFORE):
             for m in _CUE_BEFORE.finditer(text):
-                if span := self._at(text, m.end(), True):
+                if span := self._at(text, m.end(), True, m.group().rstrip().endswith((",", ":"))):
                     yield span
         if any(x in low for x in CUES_AFTER):
             for m in _CUE_AFTER.finditer(text):
@@ -226,8 +226,8 @@ class Detector:
             return bare.isupper() or lower
         return bare[0].isupper() or lower
 
-    def _at(self, text: str, at: int, cued: bool) -> tuple[int, int] | None:
-        """The name that begins at ``at`` after a cue or with a title."""
+    def _at(self, text: str, at: int, cued: bool, signed: bool = False) -> tuple[int, int] | None:
+        """The name that begins at ``at`` after a cue or with a title; after a signature nothing but the name precedes the next sentence."""
         items = self._items(text, at)
         title = False
         if items and items[0][0].rstrip(".").lower() in _TITLE_WORDS and items[0][0][0].isupper():
@@ -239,7 +239,7 @@ class Detector:
         end = None
         if all_lower:
             # a name without capitals needs a listed part, or a cue and a closed end
-            if len(words) >= 2 and words[0].isalpha() and "," not in words[:2] and self._lower_pair(text, items):
+            if len(words) >= 2 and words[0].isalpha() and "," not in words[:2] and self._lower_pair(text, items, signed):
                 end = items[1][2]
             elif len(words) >= 3 and words[1] == "," and fold(words[0]) in self.family and fold(words[2]) in self.given:
                 end = items[2][2]
@@ -275,11 +275,11 @@ class Detector:
     def _closed(self, text: str, end: int) -> bool:
         return not text[end : end + 1] or bool(_CLOSED.match(text, end)) or bool(_CUE_AFTER.match(text, end))
 
-    def _lower_pair(self, text: str, items: list[tuple[str, int, int]]) -> bool:
+    def _lower_pair(self, text: str, items: list[tuple[str, int, int]], signed: bool) -> bool:
         a, b = fold(items[0][0]), fold(items[1][0].rstrip("."))
         if a in _PRONOUNS or b in _PRONOUNS or not items[1][0][0].islower():
             return False
-        return a in self.given or b in self.family or a not in _COMMON and b not in _COMMON and len(a) > 2 and len(b) > 4 and self._closed(text, items[1][2] - items[1][0].endswith("."))
+        return a in self.given or b in self.family or a not in _COMMON and b not in _COMMON and len(a) > 2 and len(b) > 4 and (self._closed(text, items[1][2] - items[1][0].endswith(".")) or signed and text[items[1][2] + 1 : items[1][2] + 2].isupper())
 
     def _in_token(self, text: str, a: int, b: int) -> bool:
         return bool(text[a - 1 : a] and text[a - 1] in "@._+/\\-" and a) or text[b : b + 1] in {"@", "_", "+"} and b < len(text)
