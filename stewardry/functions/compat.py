@@ -45,7 +45,8 @@ def equals(a: Column, b: Column, compat: bool = False) -> Column:
 
 
 def is_in(x: Column | str, values: list) -> Column:
-    """Membership by value, in which a null in the list matches null."""
+    """Membership by value, in which a null in the list matches null; without one, a null is neither in nor out, so that the scan can filter."""
     known = [v for v in values if v is not None]
-    test = _col(x).isin(known) if known else F.lit(False)
-    return F.coalesce(test, F.lit(False)) | (_col(x).isNull() if None in values else F.lit(False))
+    if None not in values:
+        return _col(x).isin(known) if known else F.lit(False)
+    return _col(x).isin(known) | _col(x).isNull() if known else _col(x).isNull()

@@ -188,7 +188,7 @@ def delete(catalog: Catalog, tables: dict[str, DataFrame], name: str, where: lis
     hit = condition(where, t)
     gone = tables[t.name].where(hit)
     check_free(catalog, tables, t, gone)
-    return settle(catalog, tables, t, tables[t.name].where(~hit), gone.withColumn(WEIGHT, F.lit(-1)))
+    return settle(catalog, tables, t, tables[t.name].where(~F.coalesce(hit, F.lit(False))), gone.withColumn(WEIGHT, F.lit(-1)))
 
 
 def update(catalog: Catalog, tables: dict[str, DataFrame], name: str, sets: dict[str, tuple], where: list) -> Change:
