@@ -97,6 +97,7 @@ _INLINE = re.compile(
     (?=[<&`!\[*_~'{\\])(?:(?P<w_ref><ref\b[^>/]*(?:/>|>.*?(?:</ref\s*>|\Z)))
   | (?P<h_tag></?[a-z][\w:-]*(?:\s[^<>]*)?/?>)
   | (?P<h_cut><[a-z][\w:-]*(?:\s+[\w:-]+\s*=\s*(?:"[^"<>\n]*|'[^'<>\n]*|[^\s"'<>]+))?(?=\Z|\n)|</?[a-z][\w:-]*\Z)
+  | (?P<h_esc>&lt;/?[a-z][\w:-]*(?:\s[^<>&]*)?/?&gt;)
   | (?P<h_ent>&(?:\#\d{1,7}|\#x[0-9a-f]{1,6}|[a-z][a-z0-9]{1,31});)
   | (?P<m_code>(?<!`)(?P<tick>`{1,2})(?!`)[^`\n]+(?P=tick)(?!`))
   | (?P<m_link>!?\[[^\[\]\n]*\]\((?:[^()\s]|\([^()\s]*\))*(?:[ ]"[^"\n]*")?\))
@@ -435,6 +436,8 @@ def _strip(text: str, n: Node) -> str:
     raw = text[n.start : n.end]
     if n.seen in {"h_comment", "h_script", "h_cut", "m_hr", "w_tpl", "w_word", "t_bare", "m_fn", "m_fndef"}:
         return {"t_bare": "…" if raw in {r"\ldots", r"\dots"} else ""}.get(n.seen, "")
+    if n.seen == "h_esc":
+        return "\n" if re.match(r"&lt;/?(?:br|p|div|tr|table)\b", raw, re.I) else ""
     if n.seen == "h_ent":
         return html.unescape(raw)
     if n.seen.startswith("h_tag"):
