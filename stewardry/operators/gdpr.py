@@ -7,8 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stewardry.operators.ownership import owners, reach
+from stewardry.operators.ownership import one_owner, owners, reach
 from stewardry.plans.catalog import Catalog, Rule
+from stewardry.plans.graph import edges
 
 
 def _with_via(df: DataFrame, key: str, found: DataFrame) -> DataFrame:
@@ -44,9 +45,10 @@ def _any(hits: list):
 def get(catalog: Catalog, tables: dict[str, DataFrame], kind: str, subject: object) -> dict[str, DataFrame]:
     """By visited table: every row the subject owns or may see, once, with the rules for GET applied."""
     out = {}
-    for name, (owned, accessed) in reach(catalog, tables, kind, subject).items():
+    for name, (owned, accessed, rows) in reach(catalog, tables, kind, subject).items():
         t = catalog.table(name)
-        rows = _with_via(tables[name], t.key, owned.unionByName(accessed))
+        if rows is None:
+            rows = _with_via(tables[name], t.key, owned.unionByName(accessed))
         out[name] = _apply(rows, [r for r in t.rules if r.on == "GET"], t.names).select(*t.names)
     return {n: out[n] for n in catalog.tables if n in out}
 
@@ -64,12 +66,18 @@ def forget(catalog: Catalog, tables: dict[str, DataFrame], kind: str, subject: o
     """Erases a subject: rows without any other owner go; of what stays, the rules for DEL null columns or drop the row everywhere."""
     changed, deltas, counts = {}, {}, []
     all_owners = owners(catalog, tables)
-    for name, (owned, accessed) in reach(catalog, tables, kind, subject).items():
+    seen_by_others = any(e.access for e in edges(catalog))
+    for name, (owned, accessed, rows) in reach(catalog, tables, kind, subject).items():
         t = catalog.table(name)
-        rows = _with_via(tables[name], t.key, owned.unionByName(accessed))
-        mine = owned.select(F.col("pk").alias(t.key), F.lit(True).alias("mine_")).distinct()
-        rows = rows.join(mine, t.key, "left").withColumn("mine_", F.coalesce("mine_", F.lit(False)))
-        if name in all_owners:
+        if rows is None:
+            rows = _with_via(tables[name], t.key, owned.unionByName(accessed))
+            mine = owned.select(F.col("pk").alias(t.key), F.lit(True).alias("mine_")).distinct()
+            rows = rows.join(mine, t.key, "left").withColumn("mine_", F.coalesce("mine_", F.lit(False)))
+        else:
+            rows = rows.withColumn("mine_", F.lit(True))
+        # rows that only their one owner can reach have no others
+        only_mine = one_owner(catalog, name) and not seen_by_others
+        if name in all_owners and not only_mine:
             others = all_owners[name].where((F.col("kind") != kind) | (F.col("subject") != F.lit(subject).cast("string")))
             others = others.join(rows.select(F.col(t.key).alias("pk")), "pk", "left_semi").groupBy(F.col("pk").alias(t.key)).agg(F.count(F.lit(1)).alias("others_"))
             rows = rows.join(others, t.key, "left").withColumn("others_", F.coalesce("others_", F.lit(0)))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,8 +12,6 @@ from stewardry.plans.catalog import Catalog
 from stewardry.plans.graph import edges, order, owned_tables
 from stewardry.runtime import cut
 
-_EMPTY = "pk bigint, kind string, subject string"
-
 
 def _pk(catalog: Catalog, table: str):
     return F.col(catalog.table(table).key)
@@ -48,6 +47,17 @@ def owners(catalog: Catalog, tables: dict[str, DataFrame], wanted: set[str] | No
     return out if wanted is None else {k: v for k, v in out.items() if k in wanted}
 
 
+def one_owner(catalog: Catalog, name: str) -> bool:
+    """Whether no row of the table can have two owners: one foreign key per hop up to a data subject that nobody owns."""
+    owned = owned_tables(catalog)
+    while not catalog.table(name).data_subject:
+        ways = owned.get(name, [])
+        if len(ways) != 1 or ways[0].reverse:
+            return False
+        name = ways[0].parent
+    return name not in owned
+
+
 def copies(catalog: Catalog, tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """By table: (pk, shard) of every copy a store with one shard per subject would hold; rows without owner have one in the default shard."""
     owned = owners(catalog, tables)
@@ -92,29 +102,49 @@ def ownership_index(catalog: Catalog, tables: dict[str, DataFrame], name: str, c
     return every.groupBy("_col", "_shard").agg(F.sum("_c").alias("_c")).where("_c > 0")
 
 
-def reach(catalog: Catalog, tables: dict[str, DataFrame], kind: str, subject: object, max_rounds: int = 1000) -> dict[str, tuple[DataFrame, DataFrame]]:
-    """By table: (owned, accessed) rows (pk, via) of one subject; ``via`` names the foreign keys that lead to a row.
+class Reached(NamedTuple):
+    """(pk, via) of the rows a subject owns and of those it may see; the rows themselves with ``via_`` where a single way leads to them."""
+
+    owned: DataFrame
+    accessed: DataFrame
+    rows: DataFrame | None = None
+
+
+def reach(catalog: Catalog, tables: dict[str, DataFrame], kind: str, subject: object, max_rounds: int = 1000) -> dict[str, Reached]:
+    """By table: what one subject reaches; ``via`` names the foreign keys that lead to a row.
 
     Starts at the subject's own row and follows edges by semi-joins, so only what
     the subject reaches is ever joined. Access adds to ownership and goes on
     along every edge, also around self-references, until no new rows appear.
     """
-    start = tables[kind].where(_pk(catalog, kind) == F.lit(subject)).select(_pk(catalog, kind).alias("pk"), F.lit("").alias("via"))
+    itself = tables[kind].where(_pk(catalog, kind) == F.lit(subject))
+    start = itself.select(_pk(catalog, kind).alias("pk"), F.lit("").alias("via"))
     owned: dict[str, DataFrame] = {kind: start}
+    single: dict[str, DataFrame] = {kind: itself.withColumn("via_", F.array(F.lit("")))}
     every = edges(catalog)
 
-    def step(e, parents: DataFrame) -> DataFrame:
+    alone = kind not in owned_tables(catalog)  # then the subject owns one row of its own table, itself
+
+    def found_rows(e, parents: DataFrame) -> DataFrame:
         child, parent = catalog.table(e.child), catalog.table(e.parent)
+        if e.parent == kind and not e.reverse and alone and parents is start:
+            return tables[e.child].where(F.col(e.column) == F.lit(subject))  # reaches the scan
         at = parents.select(F.col("pk").alias("at__")).distinct()
         if e.reverse:
             links = tables[e.parent].join(at, F.col(parent.key) == F.col("at__"), "left_semi").select(F.col(e.column).alias("at__")).where(F.col("at__").isNotNull()).distinct()
-            rows = tables[e.child].join(links, F.col(child.key) == F.col("at__"), "left_semi")
-        else:
-            rows = tables[e.child].join(at, F.col(e.column) == F.col("at__"), "left_semi")
-        return rows.select(F.col(child.key).alias("pk"), F.lit(e.via).alias("via"))
+            return tables[e.child].join(links, F.col(child.key) == F.col("at__"), "left_semi")
+        return tables[e.child].join(at, F.col(e.column) == F.col("at__"), "left_semi")
+
+    def step(e, parents: DataFrame) -> DataFrame:
+        return found_rows(e, parents).select(_pk(catalog, e.child).alias("pk"), F.lit(e.via).alias("via"))
 
     for name in order(catalog):
-        ways = [step(e, owned[e.parent]) for e in every if not e.access and e.child == name and e.parent in owned]
+        steps = [e for e in every if not e.access and e.child == name and e.parent in owned]
+        ways = [step(e, owned[e.parent]) for e in steps]
+        if steps and name in single or len(steps) > 1:
+            single.pop(name, None)
+        elif steps:
+            single[name] = found_rows(steps[0], owned[steps[0].parent]).withColumn("via_", F.array(F.lit(steps[0].via)))
         if ways:
             owned[name] = reduce(DataFrame.unionByName, ways, owned[name]) if name in owned else reduce(DataFrame.unionByName, ways)
     accessed: dict[str, DataFrame] = {}
@@ -136,7 +166,8 @@ def reach(catalog: Catalog, tables: dict[str, DataFrame], kind: str, subject: ob
             frontier, allowed = grown, False
             if not grown:
                 break
-    return {n: (owned.get(n, _none(tables[n], catalog, n)), accessed.get(n, _none(tables[n], catalog, n))) for n in {*owned, *accessed}}
+    none = {n: _none(tables[n], catalog, n) for n in {*owned, *accessed}}
+    return {n: Reached(owned.get(n, none[n]), accessed.get(n, none[n]), None if n in accessed else single.get(n)) for n in none}
 
 
 def _none(df: DataFrame, catalog: Catalog, name: str) -> DataFrame:

@@ -49,3 +49,22 @@ def free_name(df: DataFrame, wish: str) -> str:
 def sha_key(col: Column | str) -> Column:
     """A 128-bit text key for equality of long texts."""
     return F.md5(F.encode(F.col(col) if isinstance(col, str) else col, "utf-8"))
+
+
+#: Rows that ``join_hot`` broadcasts: a fixed number, so that no other key can hold more than 1/HOT of the left side.
+HOT = 2048
+
+
+def join_hot(left: DataFrame, right: DataFrame, keys: list[str], heat: str, hot: int = HOT) -> DataFrame:
+    """Inner join with a table of one short row per key that also counts, as ``heat``, how often the left side has it.
+
+    The ``hot`` most frequent keys, which would fill single tasks, are broadcast; the rest is joined by shuffle.
+    """
+    values = [c for c in right.columns if c not in {*keys, heat}]
+    top = cut(right.orderBy(F.col(heat).desc(), *keys).limit(hot).select(*keys, *values))
+    mark = free_name(left, "hot_")
+    marked = left.join(F.broadcast(top.withColumn(mark, F.lit(True))), keys, "left")
+    near = marked.where(F.col(mark)).select(*left.columns, *values)
+    rest = right.join(F.broadcast(top.select(*keys)), keys, "left_anti").select(*keys, *values)
+    far = marked.where(F.col(mark).isNull()).select(*left.columns).join(rest, keys)
+    return near.unionByName(far.select(*near.columns))
