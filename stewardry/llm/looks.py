@@ -26,7 +26,7 @@ import unicodedata
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stewardry.runtime import cut, free_name, sha_key
+from stewardry.runtime import cut, free_name, join_hot, sha_key
 
 # Letters that are drawn like a Latin letter.
 LOOK_ALIKES = {
@@ -113,10 +113,6 @@ def _normal_forms(spark: SparkSession, stretches: DataFrame) -> DataFrame:
     return stretches.join(forms, "stretch", "left").select("stretch", "n", F.coalesce("form", F.lit("")).alias("form"))
 
 
-#: Forms that are broadcast: those of the most frequent stretches, a fixed number; the others hold less than 1/HOT of all each.
-HOT = 2048
-
-
 def normalise(df: DataFrame, text: str = "text", out: str = "look") -> DataFrame:
     """Adds the text's one form as column ``out``."""
     spark = df.sparkSession
@@ -127,12 +123,7 @@ def normalise(df: DataFrame, text: str = "text", out: str = "look") -> DataFrame
     odd = base.where(strange).withColumn(key, sha_key(plain))
     uses = odd.select(F.col(key).alias("k"), F.posexplode(_stretches(plain)).alias("at", "stretch"))
     forms = cut(_normal_forms(spark, uses.groupBy("stretch").agg(F.count(F.lit(1)).alias("n"))))
-    hot = cut(forms.orderBy(F.col("n").desc(), "stretch").limit(HOT).select("stretch", F.col("form").alias("hot_form")))
-    marked = uses.join(F.broadcast(hot), "stretch", "left")
-    near = marked.where(F.col("hot_form").isNotNull()).select("k", "at", F.col("hot_form").alias("form"))
-    cold = forms.join(F.broadcast(hot), "stretch", "left_anti").select("stretch", "form")
-    far = marked.where(F.col("hot_form").isNull()).join(cold, "stretch").select("k", "at", "form")
-    rebuilt = near.unionByName(far).groupBy(F.col("k").alias(k)).agg(F.array_sort(F.collect_set(F.struct("at", "form"))).alias(parts))
+    rebuilt = join_hot(uses, forms, ["stretch"], "n").groupBy(F.col("k").alias(k)).agg(F.array_sort(F.collect_set(F.struct("at", "form"))).alias(parts))
     known = odd.join(rebuilt, F.col(key) == F.col(k))
     between = F.split(F.col(plain), STRETCH, -1)
     joined = F.zip_with(between, F.array_append(F.transform(parts, lambda x: x["form"]), F.lit("")), lambda a, b: F.concat(a, b))

@@ -23,6 +23,10 @@ from pyspark.sql import functions as F
 from stewardry.runtime import cut
 
 
+#: Rows of a plan up to which it is broadcast; a larger one is joined by shuffle.
+PLAN_ROWS = 10_000
+
+
 def tokens(text: str | Column = "text") -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("bigint") + 1
 
@@ -63,7 +67,8 @@ def place(docs: DataFrame, plan: DataFrame, slope: float = 0.8, rows_per_bucket:
     full = cut(plan_with_totals(counted, plan, slope))
     buckets = max(1, rows // rows_per_bucket)
     wanted = full.where(F.col("passes") > 0).select("mix_id", "source", "key", "own", "goal", "passes", "slope")
-    used = sized.join(F.broadcast(wanted), "key")  # a plan has a row per mix and source, never one per document
+    few = full.count() <= PLAN_ROWS
+    used = sized.join(F.broadcast(wanted) if few else wanted, "key")
     used = used.withColumn("pass", F.explode(F.sequence(F.lit(1), F.col("passes").cast("int"))))
     draw = F.xxhash64(F.lit(seed), "mix_id", "pass", "doc_id")
     used = used.withColumn("draw", draw).withColumn("bucket", F.pmod(F.shiftrightunsigned("draw", 20), F.lit(buckets)).cast("int"))
@@ -91,7 +96,7 @@ def report(placed: DataFrame, full: DataFrame) -> DataFrame:
     """Per mix and source of the plan: target and actual share, tokens, uses, and whether the repeats' cap keeps it short."""
     used = placed.groupBy("mix_id", "source").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("uses"), F.max("pass").alias("repeats"))
     zero = F.lit(0).cast("bigint")
-    out = full.join(F.broadcast(used), ["mix_id", "source"], "left")  # both have a row per mix and source
+    out = full.join(used, ["mix_id", "source"], "left")
     out = out.withColumn("tokens", F.coalesce("tokens", zero)).withColumn("all_tokens", F.sum("tokens").over(Window.partitionBy("mix_id")))
     share = F.when(F.col("all_tokens") > 0, F.col("tokens") / F.col("all_tokens")).otherwise(0.0)
     return out.select(

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stewardry.runtime import cut
+from stewardry.runtime import cut, join_hot
 
 TYPES = ("EMAIL", "ADDRESS", "ID_NUMBER", "PHONE", "NAME")
 
@@ -479,9 +479,10 @@ def assign(entities: DataFrame, key: bytes, rounds: int = 20) -> DataFrame:
     All entities draw at once; a distributed check finds the draws that collide,
     of which the least entity keeps its own and the others draw again.
     """
-    made = cut(entities.distinct().withColumn("attempt", F.lit(0)).mapInPandas(_draws(key), _DRAWN))
+    entities = entities.distinct()
+    made = cut(entities.withColumn("attempt", F.lit(0)).mapInPandas(_draws(key), _DRAWN))
     for _ in range(rounds):
-        real = entities.distinct().select("kind", F.col("entity").alias("surrogate"), F.lit(True).alias("real"))
+        real = entities.select("kind", F.col("entity").alias("surrogate"), F.lit(True).alias("real"))
         shared = made.groupBy("kind", "surrogate").agg(F.min("entity").alias("keeper"), F.count(F.lit(1)).alias("n"))
         bad = shared.join(real, ["kind", "surrogate"], "left").where((F.col("n") > 1) | F.col("real")).select("kind", "surrogate", F.when(F.col("real"), F.lit("")).otherwise(F.col("keeper")).alias("keeper"))
         again = cut(made.join(bad, ["kind", "surrogate"]).where(F.col("entity") != F.col("keeper")).select("kind", "entity", (F.col("attempt") + 1).alias("attempt")))
@@ -515,16 +516,17 @@ def _rewrite(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def pseudonymise(docs: DataFrame, name_parts: DataFrame | None = None, everything: bool = False, key: bytes = b"stewardry") -> DataFrame:
     """(src_table, row_id, redacted, surrogate, pii_types) of the texts with mentions, or of all texts; those without stay as they are.
 
-    Entities are deduplicated map-side before anything is shuffled; the way back
-    is one join on the entity and one grouping per text.
+    Entities are counted map-side before anything is shuffled; the way back is one
+    join on the entity, frequent ones by broadcast, and one grouping per text.
     """
     scanned = cut(mentions(docs, name_parts, everything))
     found = scanned.where(F.size("mentions") > 0)
     parts_of = F.transform("mentions", lambda m: m["parts"])
     keyed = found.withColumn("text_key", F.md5(F.encode("text", "utf-8")))
     used = keyed.select("text_key", F.explode(F.array_distinct(F.flatten(parts_of))).alias("p")).select("text_key", "p.kind", "p.entity")
-    made = assign(used.select("kind", "entity"), key)
-    per_text = used.join(made, ["kind", "entity"]).groupBy("text_key").agg(F.collect_set(F.struct("kind", "entity", "surrogate")).alias("made"))
+    counted = cut(used.groupBy("kind", "entity").agg(F.count(F.lit(1)).alias("n")))
+    made = cut(assign(counted.select("kind", "entity"), key).join(counted, ["kind", "entity"]))
+    per_text = join_hot(used, made, ["kind", "entity"], "n").groupBy("text_key").agg(F.collect_set(F.struct("kind", "entity", "surrogate")).alias("made"))
     ready = keyed.join(per_text, "text_key").select("src_table", "row_id", "text", "mentions", "made")
     rewritten = ready.mapInPandas(_rewrite, "src_table string, row_id string, redacted string, surrogate string, pii_types array<string>")
     if not everything:
