@@ -68,7 +68,7 @@ def numbered(df: DataFrame, column: str, above: int) -> DataFrame:
     """Fills nulls of an AUTO_INCREMENT column of a bulk load with numbers above ``above``, without one task seeing all rows."""
     at = F.monotonically_increasing_id()
     part = F.spark_partition_id()
-    held = df.withColumn("at_", at).withColumn("part_", part)
+    held = cut(df.withColumn("at_", at).withColumn("part_", part))  # numbered once, whatever is computed again
     sizes = held.groupBy("part_").agg(F.count(F.lit(1)).alias("n_"))
     base = sizes.select("part_", (F.coalesce(F.sum("n_").over(Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + above + 1).alias("base_"))
     number = F.col("base_") + F.col("at_").bitwiseAND(F.lit((1 << 33) - 1))
