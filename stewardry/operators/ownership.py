@@ -154,7 +154,14 @@ def reach(catalog: Catalog, tables: dict[str, DataFrame], kind: str, subject: ob
             fresh: dict[str, DataFrame] = {}
             for e in every:
                 if e.parent in frontier and (e.access or not allowed):
-                    found = step(e, frontier[e.parent])
+                    if e.child == e.parent and not e.reverse:
+                        # all levels at once; what came by this edge has been followed to the end
+                        source = frontier[e.parent].where(F.col("via") != e.via)
+                        if not source.limit(1).count():
+                            continue
+                        found = below(tables[e.child], catalog.table(e.child).key, e.column, source).select("pk", F.lit(e.via).alias("via"))
+                    else:
+                        found = step(e, frontier[e.parent])
                     fresh[e.child] = fresh[e.child].unionByName(found) if e.child in fresh else found
             grown: dict[str, DataFrame] = {}
             for name, found in fresh.items():
@@ -170,5 +177,24 @@ def reach(catalog: Catalog, tables: dict[str, DataFrame], kind: str, subject: ob
     return {n: Reached(owned.get(n, none[n]), accessed.get(n, none[n]), None if n in accessed else single.get(n)) for n in none}
 
 
+def below(df: DataFrame, key: str, column: str, start: DataFrame) -> DataFrame:
+    """(pk) of all rows under the rows ``start`` (pk) along a self-reference, however deep, also around cycles.
+
+    Every row learns by pointer doubling whether any row above it is among
+    ``start``, so the number of rounds grows with the logarithm of the depth.
+    """
+    given = start.select(F.col("pk").alias("ptr"), F.lit(True).alias("seen")).distinct()
+    links = df.select(F.col(key).alias("pk"), F.col(column).alias("ptr")).where(F.col("ptr").isNotNull()).distinct()
+    state = cut(links.join(given, "ptr", "left").select("pk", "ptr", F.coalesce("seen", F.lit(False)).alias("seen")))
+    left, before = state.where(~F.col("seen")).count(), -1
+    while left and left != before:  # a round that settles no row leaves only cycles without any of ``start``
+        ahead = state.select(F.col("pk").alias("ptr"), F.col("ptr").alias("ptr2"), F.col("seen").alias("seen2"))
+        moved = state.where(~F.col("seen")).join(ahead, "ptr").select("pk", F.col("ptr2").alias("ptr"), F.col("seen2").alias("seen"))
+        # a row whose pointer runs out has nothing of ``start`` above it and drops out
+        state = cut(state.where("seen").unionByName(moved))
+        left, before = state.where(~F.col("seen")).count(), left
+    return state.where("seen").select("pk").distinct()
+
+
 def _none(df: DataFrame, catalog: Catalog, name: str) -> DataFrame:
     return df.limit(0).select(_pk(catalog, name).alias("pk"), F.lit("").alias("via"))
