@@ -43,24 +43,28 @@ _WORD = re.compile(r"\w+")
 _OUT = "pack_id bigint, container string, doc_id string, piece int, n_pieces int, start bigint, tokens bigint, capacity bigint"
 
 
-def _slot(word: str, known: dict[str, int]) -> int:
-    slot = known.get(word)
-    if slot is None:
-        if len(known) > 500_000:
-            known.clear()
-        slot = known[word] = zlib.crc32(word.encode("utf-8", "surrogatepass")) & (SLOTS - 1)
-    return slot
+class _Slots(dict):
+    """The slot of a word, remembered; ``trim`` keeps the memory bounded."""
+
+    def __missing__(self, word: str) -> int:
+        slot = self[word] = zlib.crc32(word.encode("utf-8", "surrogatepass")) & (SLOTS - 1)
+        return slot
+
+    def trim(self) -> None:
+        if len(self) > 500_000:
+            self.clear()
 
 
 def _frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Per task: documents per slot, and under -1 and -2 the number of documents and of words."""
-    df, known, docs, words = np.zeros(SLOTS, np.int64), {}, 0, 0
+    df, known, docs, words = np.zeros(SLOTS, np.int64), _Slots(), 0, 0
     for batch in batches:
         for text in batch["text"]:
             found = _WORD.findall(text.lower()) if text else []
             docs, words = docs + 1, words + len(found)
             if found:
-                df[list({_slot(w, known) for w in found})] += 1
+                df[list(set(map(known.__getitem__, set(found))))] += 1
+                known.trim()
     at = np.flatnonzero(df)
     yield pd.DataFrame({"slot": np.concatenate([at, [-1, -2]]), "n": np.concatenate([df[at], [docs, words]])})
 
@@ -78,13 +82,14 @@ def corpus_statistics(docs: DataFrame) -> tuple[np.ndarray, float]:
 class _Index:
     """A shard's inverted index: postings of BM25 weights, by slot."""
 
-    def __init__(self, texts: list[str | None], idf: np.ndarray, mean: float, known: dict[str, int]):
+    def __init__(self, texts: list[str | None], idf: np.ndarray, mean: float, known: _Slots):
         self.n = len(texts)
         self.terms: list[np.ndarray] = []
         counts, lengths = [], np.zeros(self.n)
         for i, text in enumerate(texts):
             tf: Counter = Counter(_WORD.findall(text.lower())) if text else Counter()
-            slots = np.fromiter((_slot(w, known) for w in tf), np.int64, len(tf))
+            slots = np.array(list(map(known.__getitem__, tf)), np.int64)
+            known.trim()
             self.terms.append(slots)
             counts.append(np.fromiter(tf.values(), np.float64, len(tf)))
             lengths[i] = counts[-1].sum()
@@ -132,7 +137,7 @@ def _fill(sizes: np.ndarray, capacity: int, index: _Index, tolerance: float) ->
 
 def _shards(specs: list[tuple], idf, mean: float, tolerance: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[str, int] = {}
+        known = _Slots()
         table = idf.value
 
         def pack(held: pd.DataFrame) -> pd.DataFrame:
