@@ -1,11 +1,12 @@
 """Filling fixed-capacity containers with documents by lexical retrieval.
 
-Documents are hashed to shards of bounded size. Each shard holds a BM25 inverted
-index whose document frequencies and mean length come from the whole corpus. The
-largest unused document seeds a container; its unused neighbours, best score
-first, fill the window: while several fit the best one is taken, and one that
-closes the window almost exactly is preferred. What the shards cannot fill well is
-released and packed across shards by best fit, largest first.
+The largest unused documents seed containers; their unused neighbours by BM25,
+best score first, fill the window: while several fit the best one is taken, and
+one that closes the window almost exactly is preferred. The inverted index is in
+shards of bounded size; every seed queries all of them, in rounds, so that a
+neighbour is reached wherever it lies. Of a container that is not filled well the
+smallest member is released, and these and the rests of such containers are packed
+by best fit, largest first.
 
 Only a document larger than the container is cut: into full containers and one
 rest, which is packed like a document.
@@ -25,10 +26,11 @@ import zlib
 from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stewardry.llm.mixing import source_key, tokens
@@ -79,41 +81,86 @@ def corpus_statistics(docs: DataFrame) -> tuple[np.ndarray, float]:
     return np.log1p((n - df + 0.5) / (df + 0.5)).astype(np.float32), max(words / max(n, 1), 1.0)
 
 
-class _Index:
-    """A shard's inverted index: postings of BM25 weights, by slot."""
-
-    def __init__(self, texts: list[str | None], idf: np.ndarray, mean: float, known: _Slots):
-        self.n = len(texts)
-        self.terms: list[np.ndarray] = []
-        counts, lengths = [], np.zeros(self.n)
-        for i, text in enumerate(texts):
-            tf: Counter = Counter(_WORD.findall(text.lower())) if text else Counter()
-            slots = np.array(list(map(known.__getitem__, tf)), np.int64)
-            known.trim()
-            self.terms.append(slots)
-            counts.append(np.fromiter(tf.values(), np.float64, len(tf)))
-            lengths[i] = counts[-1].sum()
-        doc = np.repeat(np.arange(self.n), [len(t) for t in self.terms])
-        slot, tf_all = np.concatenate(self.terms), np.concatenate(counts)
-        weight = idf[slot] * tf_all * (K1 + 1) / (tf_all + K1 * (1 - B + B * lengths[doc] / mean))
-        order = np.argsort(slot, kind="stable")
-        self.doc, self.weight = doc[order], weight[order]
-        slots, first = np.unique(slot[order], return_index=True)
-        self.where = dict(zip(slots.tolist(), zip(first.tolist(), [*first[1:].tolist(), len(order)])))
+def _described(idf, mean: float):
+    """Per document the slots of its words and their BM25 weights, as bytes."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        table, known = idf.value, _Slots()
+        for batch in batches:
+            slots, weights = [], []
+            for text in batch.pop("text"):
+                tf: Counter = Counter(map(known.__getitem__, _WORD.findall(text.lower()))) if text else Counter()
+                known.trim()
+                slot, n = np.fromiter(tf, np.int32, len(tf)), np.fromiter(tf.values(), np.float32, len(tf))
+                slots.append(slot.tobytes())
+                weights.append((table[slot] * n * (K1 + 1) / (n + K1 * (1 - B + B * n.sum() / mean))).astype(np.float32).tobytes())
+            yield batch.assign(slots=slots, weights=weights)
+
+    return run
 
-    def scores(self, i: int) -> np.ndarray:
-        """The score of every document of the shard for document ``i`` as the query."""
-        spans = [self.where[s] for s in set(self.terms[i].tolist())]
-        if not spans:
-            return np.zeros(self.n)
-        docs = np.concatenate([self.doc[a:b] for a, b in spans])
-        return np.bincount(docs, np.concatenate([self.weight[a:b] for a, b in spans]), self.n)
 
+#: Slots that a large index holds densely: few words make up nearly all postings, and a matrix product adds them up faster.
+HOT = 512
 
-def _fill(sizes: np.ndarray, capacity: int, index: _Index, tolerance: float) -> Iterator[list[int]]:
+
+class _Index:
+    """An inverted index of described documents: postings of BM25 weights, by slot; the most frequent slots of a large index as rows of a matrix."""
+
+    def __init__(self, slots: list[bytes], weights: list[bytes]):
+        self.n = len(slots)
+        slot = np.frombuffer(b"".join(slots), np.int32)
+        order = np.argsort(slot, kind="stable")
+        self.doc = np.repeat(np.arange(self.n, dtype=np.int32), [len(s) // 4 for s in slots])[order]
+        self.weight = np.frombuffer(b"".join(weights), np.float32)[order]
+        found, first, n = np.unique(slot[order], return_index=True, return_counts=True)
+        self.where = dict(zip(found.tolist(), zip(first.tolist(), (first + n).tolist())))
+        often = np.argsort(-n, kind="stable")[: HOT if self.n > 1024 else 0]
+        self.hot = {s: k for k, s in enumerate(found[often[n[often] > self.n // 50]].tolist())}
+        self.dense = np.zeros((len(self.hot), self.n), np.float32)
+        for s, k in self.hot.items():
+            a, b = self.where.pop(s)
+            self.dense[k, self.doc[a:b]] = self.weight[a:b]
+
+    def scores(self, queries: list[bytes], n: int | None = None) -> np.ndarray:
+        """The score of each of the first ``n`` documents (all, if None) for each query, a document's slots."""
+        n = self.n if n is None else n
+        asked = [np.frombuffer(q, np.int32).tolist() for q in queries]
+        known = np.zeros((len(queries), len(self.hot)), np.float32)
+        for i, q in enumerate(asked):
+            known[i, [self.hot[s] for s in q if s in self.hot]] = 1
+        out = known @ self.dense[:, :n]
+        for i, q in enumerate(asked):
+            if spans := [self.where[s] for s in q if s in self.where]:
+                out[i] += np.bincount(np.concatenate([self.doc[a:b] for a, b in spans]), np.concatenate([self.weight[a:b] for a, b in spans]), self.n)[:n]
+        return out
+
+
+def _greatest(score: np.ndarray, k: int) -> np.ndarray:
+    """Positions of the ``k`` greatest scores: in blocks first, as each of the k best blocks has one of at least the k-th greatest block maximum."""
+    if len(score) > 64 * k:
+        width = len(score) // (8 * k)
+        tops = score[: len(score) // width * width].reshape(-1, width).max(axis=1)
+        at = np.flatnonzero(score >= np.partition(tops, len(tops) - k)[len(tops) - k])
+    else:
+        at = np.arange(len(score))
+    return at[np.argpartition(score[at], len(at) - k)[len(at) - k :]] if len(at) > k else at
+
+
+def _choose(size: np.ndarray, score: np.ndarray, room: int, slack: float) -> Iterator[int]:
+    """Positions of what fills the room, best score first; what closes it is preferred."""
+    at = np.flatnonzero(size <= room)
+    while len(at):
+        closing = at[size[at] >= room - slack]
+        among = closing if len(closing) else at
+        best = int(among[np.argmax(score[among])])
+        yield best
+        room -= int(size[best])
+        at = at[(size[at] <= room) & (at != best)]
+
+
+def _fill(sizes: np.ndarray, capacity: int, index: _Index, slots: list[bytes], tolerance: float) -> Iterator[list[int]]:
     """Containers as lists of positions: a seed and its retrieved neighbours."""
     free = np.ones(len(sizes), bool)
-    slack = tolerance * capacity
     for seed in np.argsort(-sizes, kind="stable"):
         if not free[seed]:
             continue
@@ -121,70 +168,90 @@ def _fill(sizes: np.ndarray, capacity: int, index: _Index, tolerance: float) ->
         members, room = [int(seed)], capacity - int(sizes[seed])
         if room > 0:
             open_ = np.flatnonzero(free & (sizes <= room))
-            score = index.scores(seed)[open_]
-            size = sizes[open_]
-            while len(open_):
-                closing = np.flatnonzero(size >= room - slack)
-                best = closing[np.argmax(score[closing])] if len(closing) else int(np.argmax(score))
-                members.append(int(open_[best]))
-                free[open_[best]] = False
-                room -= int(size[best])
-                keep = size <= room
-                keep[best] = False
-                open_, score, size = open_[keep], score[keep], size[keep]
+            if len(open_):
+                chosen = open_[list(_choose(sizes[open_], index.scores([slots[seed]])[0][open_], room, tolerance * capacity))]
+                free[chosen] = False
+                members += chosen.tolist()
         yield members
 
 
-def _shards(specs: list[tuple], idf, mean: float, tolerance: float):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = _Slots()
-        table = idf.value
-
-        def pack(held: pd.DataFrame) -> pd.DataFrame:
-            group, shard = held["group"].iloc[0], int(held["shard"].iloc[0])
-            index = _Index(held["text"].tolist(), table, mean, known)
-            ids, whole = held["doc_id"].tolist(), held["size"].to_numpy(np.int64)
-            rows: list[tuple] = []
-            for pack_id, key, capacity in specs:
-                if (key is None) != (group == "") or key is not None and "=" + key != group:
+def _last(tolerance: float):
+    """Fills containers from the last free documents of a task, all in one index."""
+
+    def run(held: pd.DataFrame) -> pd.DataFrame:
+        held = held.sort_values("item", ignore_index=True)
+        slots, sizes, capacity = held["slots"].tolist(), held["rest"].to_numpy(np.int64), int(held["capacity"].iloc[0])
+        rows: list[tuple] = []
+        for members in _fill(sizes, capacity, _Index(slots, held["weights"].tolist()), slots, tolerance):
+            filled = int(sizes[members].sum())
+            rows += [(held["pack_id"].iloc[i], held["item"].iloc[i], held["item"].iloc[members[0]], filled >= (1 - tolerance) * capacity) for i in members]
+        return pd.DataFrame(rows, columns=["pack_id", "item", "seed", "filled"])
+
+    return run
+
+
+def _retrieve(best: int):
+    """The ``best`` documents of a shard that fit each query's room."""
+
+    def run(docs: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+        parts = []
+        if len(docs) and len(queries):
+            docs = docs.sort_values("rest", ignore_index=True)
+            index, size, item = _Index(docs["slots"].tolist(), docs["weights"].tolist()), docs["rest"].to_numpy(np.int64), docs["item"].to_numpy(np.int64)
+            queries = queries.sort_values(["room", "seed"], ignore_index=True)
+            fits = np.searchsorted(size, queries["room"].to_numpy(np.int64), "right")
+            for first in range(0, len(queries), 64):
+                asked, most = queries.iloc[first : first + 64], int(fits[first : first + 64].max())
+                if not most:
                     continue
-                pieces = -(-whole // capacity)
-                for i in np.flatnonzero(pieces > 1):
-                    for p in range(int(whole[i] // capacity)):
-                        rows.append((pack_id, f"{shard}.{i}.{p}", ids[i], p, int(pieces[i]), p * capacity, capacity, capacity))
-                rest = np.where(whole > capacity, whole % capacity, whole)
-                # a multiple of the capacity leaves no rest
-                items = np.where(rest > 0, rest, 2 * capacity)
-                for members in _fill(items, capacity, index, tolerance):
-                    if items[members[0]] > capacity:
-                        continue
-                    filled = int(items[members].sum()) >= (1 - tolerance) * capacity
-                    for i in members:
-                        last = int(pieces[i]) - 1
-                        rows.append((pack_id, f"{shard}.{members[0]}" if filled else None, ids[i], last, last + 1, last * capacity, int(rest[i]), capacity))
-            return pd.DataFrame(rows, columns=[c.split()[0] for c in _OUT.split(", ")])
+                scores = index.scores(asked["slots"].tolist(), most)
+                for row, n, seed, room, capacity in zip(scores, fits[first : first + 64].tolist(), asked["seed"], asked["room"], asked["capacity"]):
+                    if n:
+                        at = _greatest(row[:n], best)
+                        parts.append((np.full(len(at), seed), np.full(len(at), room), np.full(len(at), capacity), item[at], size[at], row[at]))
+        made = pd.DataFrame({c: np.concatenate(v) for c, v in zip(("seed", "room", "capacity", "item", "rest", "score"), zip(*parts))} if parts else {c: [] for c in ("seed", "room", "capacity", "item", "rest", "score")})
+        return made.assign(pack_id=docs["pack_id"].iloc[0] if len(docs) else 0)
+
+    return run
+
+
+def _accept(tolerance: float):
+    """What each seed takes of the documents that prefer it to all other seeds; rows come sorted by task and seed."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def take(held: pd.DataFrame) -> pd.DataFrame:
+            pack_id, seed, size, score = (held[c].to_numpy() for c in ("pack_id", "seed", "rest", "score"))
+            edges = np.flatnonzero((pack_id[1:] != pack_id[:-1]) | (seed[1:] != seed[:-1])) + 1
+            kept: list[int] = []
+            for a, b in zip([0, *edges], [*edges, len(held)]):
+                kept += [a + i for i in _choose(size[a:b], score[a:b], int(held["room"].iat[a]), tolerance * int(held["capacity"].iat[a]))]
+            return held.iloc[kept][["pack_id", "item", "seed", "rest"]]
 
         held = None
         for batch in batches:
             held = batch if held is None else pd.concat([held, batch], ignore_index=True)
-            changes = np.flatnonzero((held["group"].to_numpy()[1:] != held["group"].to_numpy()[:-1]) | (held["shard"].to_numpy()[1:] != held["shard"].to_numpy()[:-1])) + 1
-            for a, b in zip([0, *changes], changes):
-                yield pack(held.iloc[a:b])
-            if len(changes):
-                held = held.iloc[changes[-1] :].reset_index(drop=True)
+            last = (held["pack_id"] == held["pack_id"].iloc[-1]) & (held["seed"] == held["seed"].iloc[-1])
+            if not last.all():
+                yield take(held[~last].reset_index(drop=True))
+                held = held[last].reset_index(drop=True)
         if held is not None and len(held):
-            yield pack(held)
+            yield take(held)
 
     return run
 
 
 def _best_fit(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Best fit, largest first, over a bounded number of released items."""
-    pdf = pdf.sort_values(["tokens", "doc_id", "piece"], ascending=[False, True, True], ignore_index=True)
+    """Best fit, largest first, over a bounded number of released items; what has a unit in common stays together."""
+    pdf = pdf.assign(total=pdf.groupby("unit")["tokens"].transform("sum")).sort_values(["total", "unit"], ascending=[False, True], ignore_index=True)
     capacity, bucket = int(pdf["capacity"].iloc[0]), int(pdf["bucket"].iloc[0])
     room: list[tuple[int, int]] = []
     names, count = [], 0
-    for size in pdf["tokens"].tolist():
+    last = None
+    for size, unit in zip(pdf["total"].tolist(), pdf["unit"].tolist()):
+        if unit == last:
+            names.append(names[-1])
+            continue
+        last = unit
         at = bisect_left(room, (size, -1))
         if at < len(room):
             left, name = room.pop(at)
@@ -196,37 +263,104 @@ def _best_fit(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf[[c.split()[0] for c in _OUT.split(", ")]]
 
 
+def _per_task(values: dict[int, int]):
+    return F.create_map(*[F.lit(x).cast("bigint") for pair in values.items() for x in pair])[F.col("pack_id")]
+
+
+def _rounds(free: DataFrame, shard_docs: int, shard_bytes: int, tolerance: float) -> tuple[list[DataFrame], DataFrame | None]:
+    """([(pack_id, item, seed, filled)], documents that are left), the latter at most a shard's worth per task.
+
+    Each round opens a third of the containers still needed, with the largest free
+    documents as seeds. Every open seed queries every shard of the free documents of
+    its task; a document goes to the seed that scores it highest, and a seed takes of
+    these what fits. What it lacks it asks for again, with the documents still free.
+    """
+    members, spaces, opened = [], [], None
+    key = F.col("rest") + F.pmod(F.xxhash64("item"), F.lit(1 << 20)) / (1 << 20)
+    while True:
+        stats = {r.pack_id: r for r in free.groupBy("pack_id").agg(F.count(F.lit(1)).alias("n"), F.sum("rest").alias("tokens"), F.sum("size").alias("bytes"), F.min("rest").alias("least"), F.max("capacity").alias("capacity")).collect()}
+        big = {p: r for p, r in stats.items() if r.n > 1 and (r.n > shard_docs or r.bytes > shard_bytes)}
+        if not big:
+            break
+        shares = {p: min(0.5, -(-r.tokens // r.capacity) / 3 / r.n) for p, r in big.items()}
+        cuts = {r.pack_id: r.cut for r in free.where(F.col("pack_id").isin(list(big))).groupBy("pack_id").agg(F.percentile_approx(key, F.array(*[F.lit(1 - x) for x in sorted(set(shares.values()))]), 10_000).alias("cut")).collect()}
+        order = sorted(set(shares.values()))
+        least_key = F.create_map(*[x for p in big for x in (F.lit(p).cast("bigint"), F.lit(float(cuts[p][order.index(shares[p])])))])[F.col("pack_id")]
+        is_seed = F.coalesce(key >= least_key, F.lit(False))
+        seeds = free.where(is_seed).select("pack_id", F.col("item").alias("seed"), "capacity", (F.col("capacity") - F.col("rest")).alias("room"), "slots")
+        members.append(cut(free.where(is_seed).select("pack_id", "item", F.col("item").alias("seed"), "rest")))
+        rest = free.where(~is_seed)
+        opened = cut(seeds if opened is None else opened.unionByName(seeds))
+        asking = opened.where(F.col("room") >= _per_task({p: r.least for p, r in big.items()}))
+        asked = {r.pack_id: r.n for r in asking.groupBy("pack_id").agg(F.count(F.lit(1)).alias("n")).collect()}
+        shards = _per_task({p: max(1, -(-r.n // (16 * shard_docs)), -(-r.bytes // shard_bytes)) for p, r in big.items()})
+        blocks = _per_task({p: max(1, -(-asked.get(p, 1) // (16 * shard_docs))) for p in big})
+        near = rest.where(F.col("pack_id").isin(list(big))).select("pack_id", "item", "rest", "slots", "weights", F.pmod(F.xxhash64("item"), shards).alias("shard"), F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)).alias("block"))
+        queries = asking.select("pack_id", "seed", "room", "capacity", "slots", F.pmod(F.xxhash64("seed"), blocks).alias("block"), F.explode(F.sequence(F.lit(0).cast("bigint"), shards - 1)).alias("shard"))
+        by = ["pack_id", "shard", "block"]
+        found = near.groupBy(*by).cogroup(queries.groupBy(*by)).applyInPandas(_retrieve(32), "seed bigint, room bigint, capacity bigint, item bigint, rest bigint, score double, pack_id bigint")
+        best = found.groupBy("pack_id", "item").agg(F.max(F.struct("score", "seed", "room", "capacity", "rest")).alias("b")).select("pack_id", "item", "b.*")
+        taken = cut(best.repartition("pack_id", "seed").sortWithinPartitions("pack_id", "seed", F.col("score").desc(), "item").mapInPandas(_accept(tolerance), "pack_id bigint, item bigint, seed bigint, rest bigint"))
+        members.append(taken)
+        used = taken.groupBy("pack_id", "seed").agg(F.sum("rest").alias("used"))
+        opened = opened.join(used, ["pack_id", "seed"], "left").select("pack_id", "seed", "capacity", (F.col("room") - F.coalesce("used", F.lit(0))).alias("room"), "slots")
+        done = F.col("room") <= tolerance * F.col("capacity")
+        opened = cut(opened.withColumn("done", done))
+        spaces.append(opened.where("done").select("pack_id", "seed", "room", "capacity"))
+        opened = opened.where(~F.col("done")).drop("done")
+        free = cut(rest.join(taken.select("pack_id", "item"), ["pack_id", "item"], "left_anti"))
+    if opened is None:
+        return [], free
+    spaces.append(opened.select("pack_id", "seed", "room", "capacity"))
+    full = reduce(DataFrame.unionByName, spaces).select("pack_id", "seed", (F.col("room") <= tolerance * F.col("capacity")).alias("filled"))
+    return [reduce(DataFrame.unionByName, members).drop("rest").join(full, ["pack_id", "seed"]).select("pack_id", "item", "seed", "filled")], free
+
+
 def pack(docs: DataFrame, specs: DataFrame, shard_docs: int = 1024, shard_bytes: int = 1 << 25, tolerance: float = 0.03, released: int = 20_000) -> DataFrame:
     """One row per document or piece: pack_id, container, doc_id, piece, n_pieces, start, tokens, capacity.
 
     ``specs`` is a table of a few tasks (pack_id, source, capacity); it is read
-    to the driver and refused beyond 1,000 rows. A shard holds about ``shard_docs``
-    documents or ``shard_bytes`` bytes, a bucket of the last step about ``released`` items.
+    to the driver and refused beyond 1,000 rows. One task works on ``shard_docs``
+    documents (16 times as many when it only answers queries) or ``shard_bytes``
+    bytes, a bucket of the last step on about ``released`` items.
     """
     spark = docs.sparkSession
     tasks = [(r.pack_id, r.key, r.capacity) for r in specs.select("pack_id", source_key().alias("key"), "capacity").limit(1001).collect()]
     if len(tasks) > 1000 or any(not c or c < 1 for _, _, c in tasks):
         raise ValueError("at most 1,000 packing tasks, each of a positive capacity")
+    columns = [c.split()[0] for c in _OUT.split(", ")]
+    exact = [F.col(c).cast("bigint") if c == "doc_id" else F.col(c) for c in columns]
     idf, mean = corpus_statistics(docs)
     shared = spark.sparkContext.broadcast(idf)
-    # "" stands for all documents, "=key" for those of a source
-    named = [k for k in dict.fromkeys(k for _, k, _ in tasks) if k is not None]
-    own = F.when(source_key().isin(named), F.concat(F.lit("="), source_key())) if named else F.lit(None).cast("string")
-    groups = F.array_compact(F.array(F.lit("") if any(k is None for _, k, _ in tasks) else F.lit(None).cast("string"), own))
-    items = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text", tokens().alias("size"), F.explode(groups).alias("group"))
-    sizes = {r.group: max(1, -(-r.n // shard_docs), -(-r.bytes // shard_bytes)) for r in items.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes")).collect()}
-    count = F.create_map(*[F.lit(x) for pair in (sizes or {"": 1}).items() for x in pair])[F.col("group")]
-    items = items.withColumn("shard", F.pmod(F.xxhash64("doc_id"), count))
-    near = items.repartition("group", "shard").sortWithinPartitions("group", "shard", "doc_id")
-    packed = cut(near.mapInPandas(_shards(tasks, shared, mean, tolerance), _OUT))
+    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), source_key().alias("key"), tokens().cast("bigint").alias("size"), "text")
+    if not any(k is None for _, k, _ in tasks):
+        rows = rows.where(F.col("key").isin(list({k for _, k, _ in tasks})))
+    known = cut(rows.mapInPandas(_described(shared, mean), "doc_id string, key string, size bigint, slots binary, weights binary").withColumn("item", F.monotonically_increasing_id()))
+    wanted = "array<struct<pack_id:bigint,key:string,capacity:bigint>>"
+    listed = F.array(*[F.struct(F.lit(p).cast("bigint").alias("pack_id"), F.lit(k).cast("string").alias("key"), F.lit(c).cast("bigint").alias("capacity")) for p, k, c in tasks]).cast(wanted)
+    items = known.withColumn("task", F.explode(F.filter(listed, lambda t: t["key"].isNull() | (t["key"] == F.col("key"))))).select("item", "doc_id", "size", "slots", "weights", F.col("task.pack_id").alias("pack_id"), F.col("task.capacity").alias("capacity"))
+    whole = F.floor(F.col("size") / F.col("capacity")).cast("bigint")
+    pieces = F.ceil(F.col("size") / F.col("capacity")).cast("bigint")
+    items = items.withColumn("n_pieces", pieces.cast("int")).withColumn("rest", F.when(F.col("size") > F.col("capacity"), F.col("size") % F.col("capacity")).otherwise(F.col("size")))
+    # only documents larger than the container are cut; a multiple of the capacity leaves no rest
+    cuts = items.where("size > capacity").select("*", F.posexplode(F.sequence(F.lit(1).cast("bigint"), whole)).alias("piece", "nth"))
+    cuts = cuts.select("pack_id", F.concat_ws(".", "item", "piece").alias("container"), "doc_id", "piece", "n_pieces", (F.col("piece") * F.col("capacity")).alias("start"), F.col("capacity").alias("tokens"), "capacity")
+    members, free = _rounds(items.where("rest > 0").select("pack_id", "capacity", "item", "size", "rest", "slots", "weights"), shard_docs, shard_bytes, tolerance)
+    members.append(free.groupBy("pack_id").applyInPandas(_last(tolerance), "pack_id bigint, item bigint, seed bigint, filled boolean"))
+    placed = reduce(DataFrame.unionByName, members).join(items.where("rest > 0").drop("slots", "weights"), ["pack_id", "item"])
+    last = (F.col("n_pieces") - 1).cast("int")
+    packed = cut(placed.select("pack_id", F.when(F.col("filled"), F.concat(F.lit("s"), F.col("seed"))).alias("container"), "doc_id", last.alias("piece"), "n_pieces", (last.cast("bigint") * F.col("capacity")).alias("start"), F.col("rest").alias("tokens"), "capacity", F.col("seed"), F.col("item")))
     loose = packed.where(F.col("container").isNull())
     left = {r.pack_id: max(1, -(-r.n // released)) for r in loose.groupBy("pack_id").agg(F.count(F.lit(1)).alias("n")).collect()}
-    exact = [F.col(c).cast("bigint") if c == "doc_id" else F.col(c) for c in packed.columns]
+    kept = packed.where(F.col("container").isNotNull()).select(*columns).unionByName(cuts)
     if not left:
-        return packed.select(*exact)
-    buckets = F.create_map(*[F.lit(x) for pair in left.items() for x in pair])[F.col("pack_id")]
-    loose = loose.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), buckets))
-    return packed.where(F.col("container").isNotNull()).unionByName(loose.groupBy("pack_id", "bucket").applyInPandas(_best_fit, _OUT)).select(*exact)
+        return kept.select(*exact)
+    # of a container with space left only the smallest member goes its own way, the others stay together
+    rank = F.row_number().over(Window.partitionBy("pack_id", "seed").orderBy("tokens", "item"))
+    alone = (rank == 1) & (F.col("item") != F.col("seed"))
+    loose = loose.withColumn("unit", F.when(alone, F.concat(F.lit("i"), F.col("item"))).otherwise(F.concat(F.lit("s"), F.col("seed"))))
+    loose = loose.withColumn("bucket", F.pmod(F.xxhash64("unit"), _per_task(left)))
+    return kept.unionByName(loose.groupBy("pack_id", "bucket").applyInPandas(_best_fit, _OUT)).select(*exact)
 
 
 def fill_report(packed: DataFrame) -> DataFrame:

@@ -61,6 +61,34 @@ def test_little_space_is_left_and_neighbours_share_words(spark):
     assert same > 0.7  # a random packing stays below a half
 
 
+def test_neighbours_are_reached_in_all_shards(spark):
+    """Each large document and its four kin share words of their own and fill a container exactly."""
+    kin = [(k, j) for j in range(5) for k in range(60)]
+    docs = [(5 * k + j, " ".join([f"own{k:02}x{i}" for i in range(4)] + ["filler"] * (40 if j == 0 else 3)), "A", "", "") for k, j in kin]
+    large, small = len(docs[0][1]) + 1, len(docs[-1][1]) + 1
+    specs = [(1, None, large + 4 * small, 0)]
+    packed = packing.pack(spark.createDataFrame(docs, DOCS), spark.createDataFrame(specs, SPECS), shard_docs=4)
+    together = defaultdict(set)
+    for r in check(packed, docs, specs):
+        together[r.container].add(r.doc_id // 5)
+    assert sum(len(v) == 1 for v in together.values()) >= 54  # where only a shard is asked, hardly any
+
+
+def test_scores_equal_a_direct_sum():
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    slots = [np.unique(np.minimum(r.geometric(0.01, 60), 2000)).astype(np.int32) for _ in range(3000)]
+    weights = [r.random(len(s)).astype(np.float32) for s in slots]
+    index = packing._Index([s.tobytes() for s in slots], [w.tobytes() for w in weights])
+    assert index.hot and index.where
+    got = index.scores([s.tobytes() for s in slots[:20]], 2900)
+    want = np.array([[w[np.isin(s, q)].sum() for s, w in zip(slots[:2900], weights)] for q in slots[:20]])
+    assert np.allclose(got, want, atol=1e-3)
+    for row in got:
+        assert sorted(row[packing._greatest(row, 32)]) == sorted(row)[-32:]
+
+
 def test_empty_tables(spark):
     docs, specs = spark.createDataFrame([], DOCS), spark.createDataFrame([(1, None, 10, 0)], SPECS)
     assert packing.pack(docs, specs).count() == 0
