@@ -121,6 +121,8 @@ _INLINE = re.compile(
     """,
     re.X | re.S | re.I,
 )
+#: The blocks that may stand within a line, and so in items, headings and quotes.
+_LOOSE = re.compile(_BLOCK.pattern.split("\n  | ^(?:")[0], _BLOCK.flags)
 _ITEM_MARK = re.compile(r"</?(?:li|ul|ol|dl|dt|dd)\b[^>]*>|\\item\b[ \t]*(?:\[[^\]]*\])?|^[ \t]*(?:[-*+]|\d{1,9}[.)]|\*{2,6})[ \t]+(?:\[[ xX]\][ \t]+)?|^[#*;:]+[ \t]*", re.M | re.I)
 _PRE_CODE = re.compile(r"\s*</?code\b[^>]*>\s*", re.I)
 _WORDY = re.compile(r"[\\^_={}<>+]|[a-zA-Z]\(|\d\s*[*/-]\s*\d|^\w$")
@@ -154,6 +156,10 @@ def _inline(text: str, a: int, b: int, skip_items: bool = False) -> list[Node]:
     return out
 
 
+#: What blocks may stand in, besides lines of items and of headings with hashes.
+_HOLDERS = frozenset("t_env h_list t_list h_head t_head w_head m_setext m_quote w_def".split()) | {
+    *(f"{m}_{k}_{n}{e}" for m in ("bullets", "tight") for k in ("num", "dash", "plus", "star") for n in ("one", "many") for e in ("", "_tight", "_wiki"))
+}
 _HTML_NAMES = frozenset(
     """a abbr article aside b big blockquote body br button caption center cite code col colgroup dd del details dfn div em figcaption figure font footer form h1 h2 h3 h4 h5 h6
     head header hr html i iframe img input ins kbd label legend link main mark meta nav noscript object ol option p param pre q s samp section select small source span strike
@@ -164,13 +170,17 @@ _INNER = {"h_pre": "i_pre", "w_source": "i_source", "h_math": "i_math", "h_maths
           "m_fence": "i_fence", "f_dd": "i_dd", "f_br": "i_br", "f_par": "i_par", "f_d": "i_d", "w_head": "i_whead", "m_setext": "i_setext"}
 
 
-def parse(text: str) -> list[Node]:
-    """The top nodes of a text's tree, in order."""
+#: Levels of blocks in blocks; what stands deeper has inline marks only.
+_DEPTH = 6
+
+
+def parse(text: str, a: int = 0, b: int | None = None, blocks: re.Pattern = _BLOCK, items: bool = False, depth: int = 0) -> list[Node]:
+    """The top nodes of a text's (or a span's) tree, in order."""
     out: list[Node] = []
-    at = 0
-    for m in _BLOCK.finditer(text):
+    at, b = a, len(text) if b is None else b
+    for m in blocks.finditer(text, a, b):
         kind = m.lastgroup
-        out += _inline(text, at, m.start())
+        out += _inline(text, at, m.start(), items)
         at = m.end()
         inner = m.span(_INNER[kind]) if kind in _INNER else m.span()
         if inner[0] < 0:
@@ -185,9 +195,14 @@ def parse(text: str) -> list[Node]:
             seen = _shape_of_lines(m.group(), kind)
         node = Node(seen, m.start(), m.end(), inner)
         if kind not in {"h_comment", "h_script", "w_table", "m_table", "m_hr", "m_fndef"}:
-            node.children = [x for x in _inline(text, *inner, seen in {"h_list", "t_list"}) if not (kind == "h_pre" and _PRE_CODE.fullmatch(text[x.start : x.end]))]
+            listed = seen in {"h_list", "t_list"}
+            if seen in _HOLDERS and depth < _DEPTH:
+                inside = parse(text, *inner, _BLOCK if seen == "t_env" else _LOOSE, listed, depth + 1)
+            else:
+                inside = _inline(text, *inner, listed)
+            node.children = [x for x in inside if not (kind == "h_pre" and _PRE_CODE.fullmatch(text[x.start : x.end]))]
         out.append(node)
-    return out + _inline(text, at, len(text))
+    return out + _inline(text, at, b, items)
 
 
 # --- the model -----------------------------------------------------------------
@@ -419,6 +434,22 @@ def train(pages: int = 6000, seed: int = 11, smooth: float = 0.02) -> Model:
                 inner = "inert" if state.endswith((".code", ".formula")) else "text" if state == "text" else f"{span[0]}.other"
                 below[at[state], at[inner]] += 1
                 emit[c.seen][at[inner]] += 1
+    # blocks in blocks, of a stream of their own
+    r = random.Random(seed + 1)
+    for _ in range(pages // 4):
+        s = r.choice(SYNTAXES)
+        block, e = _block(r, s)
+        holder, around = r.choice({
+            "html": (("list", "<ul><li>{}</li></ul>"),), "md": (("list", "- so {} it"), ("other", "> so {} it")),
+            "wiki": (("list", "* so {} it"),), "tex": (("list", "\\begin{{itemize}}\n\\item {}\n\\end{{itemize}}"), ("other", "\\begin{{document}}\n{}\n\\end{{document}}")),
+        }[s])
+        if e == "text" or s in {"md", "wiki"} and "\n" in block:
+            continue
+        for n in parse(around.format(block)):
+            for c in n.children:
+                if c.seen not in _INLINE_SEEN:
+                    below[at[f"{s}.{holder}"], at[f"{s}.{e}"]] += 1
+                    emit[c.seen][at[f"{s}.{e}"]] += 1
     total = sum(emit.values()) + smooth * (len(emit) + 1)
     logs = {k: np.log((v + smooth) / total) for k, v in emit.items()}
     norm = lambda m: np.log(m / m.sum(axis=-1, keepdims=True))
@@ -495,7 +526,7 @@ def _render(text: str, n: Node) -> str:
         return f"\n# {' '.join(inside.split())}\n" if n.seen[0] in "ht" else f"# {' '.join(inside.split())}"
     if n.label == "list":
         raw = [x.strip() for x in _ITEM_MARK.split(inside)]
-        return ("\n" if n.seen in {"h_list", "t_list"} else "") + "\n".join(f"- {' '.join(x.split())}" for x in raw if x)
+        return ("\n" if n.seen in {"h_list", "t_list"} else "") + "\n".join(f"- {x if '```' in x else ' '.join(x.split())}" for x in raw if x)
     if n.seen == "m_quote":
         return re.sub(r"^[ ]{0,3}>[ ]?", "", inside, flags=re.M)
     if n.seen == "t_env":

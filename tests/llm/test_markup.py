@@ -28,6 +28,17 @@ def test_kinds_of_elements(text, want):
     assert found(text) == want
 
 
+@pytest.mark.parametrize(
+    "text,want",
+    [
+        ("- so $x_i^2$ holds\n- two", {"list", "formula"}), ("<ul><li><pre>a\nb</pre></li><li>two</li></ul>", {"list", "code"}), ("\\begin{itemize}\n\\item $x^2$\n\\end{itemize}", {"list", "formula"}),
+        ("\\section{The $x^2$ case}", {"heading", "formula"}), ("\\begin{document}\n\\section{One}\n\\begin{verbatim}\na\n\\end{verbatim}\n\\end{document}", {"heading", "code", "other"}),
+    ],
+)
+def test_blocks_in_blocks(text, want):
+    assert found(text) == want
+
+
 def test_held_out_pages():
     r = random.Random(4711)
     pages = [markup._labelled_page(r) for _ in range(600)]
