@@ -37,7 +37,7 @@ STATES = (*[f"{s}.{e}" for s in SYNTAXES for e in ELEMENTS], "text", "inert")
 ROOTS = (*SYNTAXES, "plain")
 
 #: What a text without any possible mark lacks; such texts have an empty tree and never leave the JVM.
-POSSIBLE = r"(?m)[<&#*_`$\\\[\]{}|=~>]|''|^[ \t]*(?:[-+]|\d{1,9}[.)])[ \t]|^ {4}|^\t|^---|^[:;]"
+POSSIBLE = r"(?m)[<&#*_`$\\\[\]{}|=~>]|''|^[ \t]*(?:[-+]|\d{1,9}[.)])[ \t]|^ {4}|^\t|^ {0,3}---|^[:;]"
 
 
 @dataclass

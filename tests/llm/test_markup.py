@@ -39,6 +39,11 @@ def test_blocks_in_blocks(text, want):
     assert found(text) == want
 
 
+def test_indented_dashes_reach_the_parser(spark):
+    df = spark.createDataFrame([(1, "Title\n ---"), (2, "a\n\n   ---\n\nb")], "id bigint, body string")
+    assert {r.id: tuple(r.elements) for r in markup.find_elements(df, ["id"], "body").collect()} == {1: ("heading",), 2: ("other",)}
+
+
 def test_held_out_pages():
     r = random.Random(4711)
     pages = [markup._labelled_page(r) for _ in range(600)]
