@@ -60,6 +60,9 @@ _AT = rf"(?:{_B}?[@＠]{_B}?|{_B}*[\[({{<]{_B}*(?i:at){_B}*[\])}}>]{_B}*|{_B}+AT
 _DOT = rf"(?:\.|{_B}*[\[({{<]{_B}*(?i:dot){_B}*[\])}}>]{_B}*|{_B}+(?:DOT|dot){_B}+)"
 EMAIL = re.compile(rf"(?:mailto:)?(?<![\w.+-])[\w](?:[\w.+'%-]*[\w])?{_AT}[\w](?:[\w-]*[\w])?(?:{_DOT}[\w](?:[\w-]*[\w])?)*{_DOT}[^\W\d_]{{2,}}(?![\w@])")
 
+#: Necessary for an address that EMAIL accepts.
+_AT_GATE = re.compile(rf"[@＠]|[\[({{<]{_B}*(?i:at){_B}*[\])}}>]|{_B}AT{_B}|{_B}at{_B}+[\w-]+{_B}+dot{_B}")
+
 _WORD_DIGIT = "(?:" + "|".join(DIGIT_WORDS) + ")"
 PHONE = re.compile(
     rf"""(?<![\w.])(?:
@@ -151,7 +154,7 @@ class Detector:
             if (not at or found[at - 1][1] <= start) and (at == len(found) or end <= found[at][0]):
                 found.insert(at, (start, end, kind))
 
-        if "@" in text or "＠" in text or "at" in low and ("dot" in low or "(at" in low or "[at" in low or "AT " in text or "{at" in low):
+        if "@" in text or "＠" in text or "at" in low and _AT_GATE.search(text):
             for m in EMAIL.finditer(text):
                 add(m.start(), m.end(), "EMAIL")
         words = set(_SPLIT.split(low))
@@ -175,7 +178,7 @@ class Detector:
                         add(m.start(), m.end(), "PHONE")
                 for m in PHONE_CUE.finditer(text):
                     add(m.start(1), m.end(1), "PHONE")
-        if "five" in low or "one" in low or "zero" in low or "oh " in low:
+        if any(x in low for x in DIGIT_WORDS):
             for m in PHONE_WORDS.finditer(text):
                 add(m.start(), m.end(), "PHONE")
         for a, b in self._names(text, low, words):
@@ -183,11 +186,12 @@ class Detector:
         return found
 
     def _names(self, text: str, low: str, words: set[str]) -> Iterator[tuple[int, int]]:
-        if any(x in low for x in CUES_BEFORE):
+        flat = re.sub(r"\s", " ", low)
+        if any(x in flat for x in CUES_BEFORE):
             for m in _CUE_BEFORE.finditer(text):
                 if span := self._at(text, m.end(), True, m.group().rstrip().endswith((",", ":"))):
                     yield span
-        if any(x in low for x in CUES_AFTER):
+        if any(x in flat for x in CUES_AFTER):
             for m in _CUE_AFTER.finditer(text):
                 if span := self._before(text, m.start()):
                     yield span

@@ -69,3 +69,13 @@ def test_distinct_entities_stay_distinct(spark, monkeypatch):
     assert len(made) == 600 == len({(r.kind, r.surrogate) for r in made})
     assert not {(r.kind, r.surrogate) for r in made} & {(r.kind, r.entity) for r in made}
     assert {tuple(r) for r in made} == {tuple(r) for r in pii.assign(entities, b"key").collect()}  # keyed, so repeatable
+
+
+@pytest.mark.parametrize(
+    "text,want",
+    [
+        ("seven two four three eight six nine two four four", "PHONE"), ("john <at> example.com", "EMAIL"), ("john ( at ) example.com", "EMAIL"), ("We spoke\nwith Ada Lovelace.", "NAME"),
+    ],
+)
+def test_gates_let_all_through_that_patterns_accept(text, want):
+    assert [kind for *_, kind in pii.Detector(set(), set()).find(text)] == [want]
