@@ -217,7 +217,7 @@ def sharded(known: DataFrame, items: DataFrame, weights, shard_docs: int, shard_
 # --- filling ---------------------------------------------------------------------------
 
 #: Words that more than this share of a shard's documents hold are kept as rows of a matrix, up to so many; they make up most postings.
-HOT, HOT_SHARE = 512, 1 / 8
+HOT, HOT_SHARE = 512, 1 / 32
 
 
 class _Index:
@@ -253,13 +253,13 @@ class _Index:
         return out
 
 
-def _choose(size: np.ndarray, score: np.ndarray, room: int, slack: float) -> Iterator[int]:
+def _choose(size: np.ndarray, score: np.ndarray, room: int, slack: int) -> Iterator[int]:
     """Positions of what fills the room, best score first; a neighbour that closes it is preferred.
 
     ``size`` is in ascending order; what may not be taken has a score below zero. ``score`` is used up.
     """
     while fits := int(np.searchsorted(size, room, "right")):
-        best, tight = int(np.argmax(score[:fits])), int(np.searchsorted(size, room - slack, "left"))
+        best, tight = int(np.argmax(score[:fits])), int(np.searchsorted(size, room - slack))
         if score[best] < 0:
             return
         if score[best] == 0:  # no neighbours: the largest that fits
@@ -275,9 +275,9 @@ def _fill(sizes: np.ndarray, capacity: int, terms: list[bytes], counts: list[byt
     """Containers as lists of positions: a seed and its retrieved neighbours. ``sizes`` is in ascending order.
 
     Scores of a block of seeds are found at once, as they do not depend on what is
-    still free; the index is built anew when half of its documents are used.
+    still free; the index is built anew when a quarter of its documents are used.
     """
-    free = np.ones(len(sizes), bool)
+    free, slack = np.ones(len(sizes), bool), int(tolerance * capacity)
     doc, term, weight = weights.of(terms, counts)
     at, index, seeds = np.arange(len(sizes)), None, len(sizes)
     while True:
@@ -288,23 +288,25 @@ def _fill(sizes: np.ndarray, capacity: int, terms: list[bytes], counts: list[byt
                 block_seeds.append(seeds)
         if not block_seeds:
             return
-        if index is None or free[at].sum() < 0.6 * len(at):
+        if index is None or free[at].sum() < 0.75 * len(at):
             still = free[at]
             new, keep = np.cumsum(still, dtype=np.int32) - 1, still[doc]
             doc, term, weight, at = new[doc[keep]], term[keep], weight[keep], at[still]
-            index = _Index(len(at), doc, term, weight)
+            index, size = _Index(len(at), doc, term, weight), sizes[at]
         room = capacity - sizes[block_seeds]
-        most = int(np.searchsorted(sizes[at], room.max(), "right"))
-        scores = index.scores([terms[i] for i in block_seeds], most) if most else None
+        most = int(np.searchsorted(size, room.max(), "right"))
+        scores = index.scores([terms[i] for i in block_seeds], most)
+        scores[:, ~free[at[:most]]] = -1
         for i, seed in enumerate(block_seeds):
             if not free[seed]:
                 continue
-            free[seed] = False
-            members = [seed]
+            taken = [int(np.searchsorted(at, seed))]
+            scores[i:, [k for k in taken if k < most]] = -1
             if most and room[i] > 0:
-                score = np.where(free[at[:most]], np.maximum(scores[i], 0), -1)
-                members += at[list(_choose(sizes[at[:most]], score, int(room[i]), tolerance * capacity))].tolist()
-                free[members] = False
+                taken += _choose(size[:most], scores[i], int(room[i]), slack)
+                scores[i:, [k for k in taken if k < most]] = -1
+            members = at[taken].tolist()
+            free[members] = False
             yield members
 
 

@@ -141,7 +141,7 @@ def test_the_index_of_a_seed_holds_its_neighbours(spark):
     order = {r.doc_id: k for k, r in enumerate(known.select("doc_id").collect())}
     own = [order[str(r.doc_id)] for r in docs.select("doc_id").collect()]
     hits = []
-    for q in range(0, len(bags), 200):
+    for q in range(0, len(bags), 400):
         score = np.zeros(len(bags))
         for w in bags[q]:
             for i, x in where[w]:
