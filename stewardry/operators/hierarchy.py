@@ -112,7 +112,7 @@ def components(nodes: DataFrame, solve_rows: int = SOLVE_ROWS) -> DataFrame:
 
 
 def _traverse(nodes: list, parents: list, threads: list, component: int, top_thread, top_missing: bool, paths: bool) -> Iterator[tuple]:
-    """Depth-first over one component; parents lie in it, or it has one top."""
+    """Depth-first over one component; parents lie in it, or it has one top. A node's row goes out when the node is left, its path being the stack."""
     at = {n: i for i, n in enumerate(nodes)}
     n = len(nodes)
     children: list[list[int]] = [[] for _ in range(n)]
@@ -123,36 +123,35 @@ def _traverse(nodes: list, parents: list, threads: list, component: int, top_thr
             start = i
         else:
             children[j].append(i)
-    depth, size, colour, back = [0] * n, [0] * n, bytearray(n), set()
-    path: list[list | None] = [None] * n
+    size, colour, back = [0] * n, bytearray(n), set()
     cyclic = start < 0
     if cyclic:
         start = at[component]
     colour[start], stack = 1, [(start, iter(children[start]))]
-    path[start] = [nodes[start]]
+    way = [nodes[start]]
     while stack:
         i, rest = stack[-1]
         for j in rest:
             if colour[j] == 0:
-                colour[j], depth[j] = 1, depth[i] + 1
-                if paths:
-                    path[j] = path[i] + [nodes[j]]
+                colour[j] = 1
                 stack.append((j, iter(children[j])))
+                way.append(nodes[j])
                 break
             if colour[j] == 1:  # a back edge: the grey nodes from j to i form a cycle
                 back.update(k for k, _ in stack[next(x for x, (k, _) in enumerate(stack) if k == j) :])
         else:
             colour[i] = 2
+            if not cyclic:
+                state = MISSING if top_missing and i == start else ROOT
+                wrong = not top_missing and top_thread is not None and threads[i] is not None and threads[i] != top_thread
+                yield nodes[i], parents[i], component, nodes[start], len(stack) - 1, state, wrong, size[i] if paths else None, way.copy() if paths else None
             stack.pop()
+            way.pop()
             if stack:
                 size[stack[-1][0]] += size[i] + 1
-    for i in range(n):
-        state = (CYCLE if i in back else BELOW) if cyclic else MISSING if top_missing and i == start else ROOT
-        wrong = not cyclic and not top_missing and top_thread is not None and threads[i] is not None and threads[i] != top_thread
-        yield (
-            nodes[i], parents[i], component, None if cyclic else nodes[start], None if cyclic else depth[i], state, wrong,
-            None if cyclic else size[i], path[i] if paths and not cyclic else None,
-        )
+    if cyclic:
+        for i in range(n):
+            yield nodes[i], parents[i], component, None, None, CYCLE if i in back else BELOW, False, None, None
 
 
 _ARROW = pa.schema(
@@ -160,10 +159,12 @@ _ARROW = pa.schema(
 )
 
 
+#: Nodes of paths that a task holds before it sends them on.
+_FRAME = 100_000
+
+
 def _co_located(paths: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-
         def frame(rows: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*rows), _ARROW)], schema=_ARROW)
 
@@ -171,17 +172,27 @@ def _co_located(paths: bool):
             n, p, t, c, top, missing = zip(*rows)
             return _traverse(list(n), list(p), list(t), c[0], top[0], missing[0], paths)
 
-        for batch in batches:  # a component may go on in the next batch
-            out: list[tuple] = []
-            for row in zip(*[batch.column(c).to_pylist() for c in ("node", "parent", "thread", "component", "top_thread", "top_missing")]):
-                if held and held[0][3] != row[3]:
-                    out += done(held)
-                    held = []
-                held.append(row)
-            if out:
+        def finished() -> Iterator[tuple]:
+            held: list[tuple] = []
+            for batch in batches:  # a component may go on in the next batch
+                for row in zip(*[batch.column(c).to_pylist() for c in ("node", "parent", "thread", "component", "top_thread", "top_missing")]):
+                    if held and held[0][3] != row[3]:
+                        yield from done(held)
+                        held = []
+                    held.append(row)
+            if held:
+                yield from done(held)
+
+        out: list[tuple] = []
+        entries = 0
+        for row in finished():
+            out.append(row)
+            entries += 1 + len(row[-1] or ())
+            if entries > _FRAME:  # so that long paths never pile up
                 yield frame(out)
-        if held:
-            yield frame(list(done(held)))
+                out, entries = [], 0
+        if out:
+            yield frame(out)
 
     return run
 
@@ -196,24 +207,27 @@ def _doubled(giant: DataFrame, paths: bool) -> DataFrame:
         "node", "parent", "thread", "component", "top_thread", "top_missing",
         F.when(top, F.lit(None)).otherwise(F.col("parent")).cast("bigint").alias("ptr"),
         F.when(top & F.col("there").isNotNull(), F.lit(True)).otherwise(F.lit(False)).alias("ring"),
-        F.array("node").alias("path"),
+        (F.array("node") if paths else F.lit(None).cast("array<bigint>")).alias("path"), F.lit(1).alias("far"),
     )
     # a component whose least cycle node keeps an existing parent is cyclic as a whole
     rings = state.where("ring").select(F.col("component").alias("c"))
     cyclic = state.join(rings, F.col("component") == F.col("c"), "left_semi")
     state = cut(state.join(rings, F.col("component") == F.col("c"), "left_anti").drop("ring"))
     while state.where(F.col("ptr").isNotNull()).limit(1).count():
-        ahead = state.select(F.col("node").alias("at"), F.col("ptr").alias("ptr2"), F.col("path").alias("path2"))
+        ahead = state.select(F.col("node").alias("at"), F.col("ptr").alias("ptr2"), F.col("path").alias("path2"), F.col("far").alias("far2"))
         state = cut(state.join(ahead, F.col("ptr") == F.col("at"), "left").select(
             "node", "parent", "thread", "component", "top_thread", "top_missing", F.col("ptr2").alias("ptr"),
-            F.when(F.col("path2").isNull(), F.col("path")).otherwise(F.concat("path2", "path")).alias("path"),
+            F.when(F.col("path2").isNull(), F.col("path")).otherwise(F.concat("path2", "path")).alias("path"), (F.col("far") + F.coalesce("far2", F.lit(0))).alias("far"),
         ))
-    sizes = state.select(F.explode("path").alias("at")).groupBy("at").agg((F.count(F.lit(1)) - 1).alias("n_descendants"))
     wrong = ~F.col("top_missing") & F.coalesce(F.col("thread") != F.col("top_thread"), F.lit(False))
-    straight = state.join(sizes, F.col("node") == F.col("at")).select(
-        "node", "parent", "component", F.col("component").alias("root"), (F.size("path") - 1).alias("depth"),
-        F.when(F.col("top_missing") & top, MISSING).otherwise(ROOT).alias("state"), wrong.alias("wrong_thread"), "n_descendants",
-        (F.col("path") if paths else F.lit(None).cast("array<bigint>")).alias("path"),
+    if paths:
+        sizes = state.select(F.explode("path").alias("at")).groupBy("at").agg((F.count(F.lit(1)) - 1).alias("n_descendants"))
+        state = state.join(sizes, F.col("node") == F.col("at"))
+    else:
+        state = state.withColumn("n_descendants", F.lit(None).cast("bigint"))
+    straight = state.select(
+        "node", "parent", "component", F.col("component").alias("root"), (F.col("far") - 1).alias("depth"),
+        F.when(F.col("top_missing") & top, MISSING).otherwise(ROOT).alias("state"), wrong.alias("wrong_thread"), "n_descendants", "path",
     )
     # on the cycle: reached again from its least node; the way is followed by doubling of the on-cycle set
     ring = cut(cyclic.select("node", "parent", "component", F.col("parent").alias("ptr")))
@@ -237,7 +251,7 @@ def hierarchy(df: DataFrame, node: str, parent: str, thread: str | None = None,
 
     state: ``ok``, ``missing_parent`` (the node's own parent does not exist; it
     then tops its tree), ``cycle`` or ``below_cycle``; the last two have no root,
-    depth, path or descendants. wrong_thread: the top has no parent and another
+    depth, path or descendants, and without ``paths`` no node has the last two. wrong_thread: the top has no parent and another
     thread (both not null). Null nodes are left out, repeated rows merge, a node
     that is its own parent is a cycle, an empty table gives no rows, further columns are ignored.
     """

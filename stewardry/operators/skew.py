@@ -21,18 +21,19 @@ _MERGE = {"count": F.sum, "sum": F.sum, "min": F.min, "max": F.max}
 
 
 def rounds_for(chunks: int, fan_in: int) -> int:
-    """Merging rounds needed to bring so many chunk states to one."""
+    """Merging rounds needed to bring so many chunk states to one: two at least, so that no key ever has all its states in one place."""
     if fan_in < 2:
         raise ValueError("fan_in must be 2 at least")
-    return max(1, math.ceil(math.log(max(chunks, 1)) / math.log(fan_in) - 1e-9))
+    return max(2, math.ceil(math.log(max(chunks, 1)) / math.log(fan_in) - 1e-9))
 
 
 def _rows(df: DataFrame) -> int:
     return df.select(F.lit(1)).count()  # answered from the file footers where the source keeps them
 
 
-def _chunks(df: DataFrame, rows: int, chunk_rows: int) -> int:
-    return rows // chunk_rows + df.rdd.getNumPartitions()
+def chunk_count(df: DataFrame, chunk_rows: int = 65536, per_row: int = 1, rows: int | None = None) -> int:
+    """At least as many as the chunks of a table, or of what has ``per_row`` rows for each of its rows."""
+    return per_row * (_rows(df) if rows is None else rows) // chunk_rows + df.rdd.getNumPartitions()
 
 
 def _slot(chunk_rows: int, leaves: int) -> Column:
@@ -55,7 +56,7 @@ def tree_aggregate(
     values are skipped by sum, min, max and count of a column; an empty table
     gives no rows; other columns are ignored, whatever their names.
     """
-    rounds = rounds_for(_chunks(df, _rows(df), chunk_rows) if chunks is None else chunks, fan_in)
+    rounds = rounds_for(chunk_count(df, chunk_rows) if chunks is None else chunks, fan_in)
     slot = free_name(df, "slot")
     leaf = [F.col(k) for k in keys]
     values = {n: (kind, None if c is None else (F.col(c) if isinstance(c, str) else c)) for n, (kind, c) in aggregates.items()}
@@ -82,7 +83,7 @@ def tree_latest(
     anything, so a slot receives ``fan_in * k`` rows of a key. Ties are broken by
     all remaining columns; nulls in ``order`` come last; whole repeats keep a rank each.
     """
-    rounds = rounds_for(_chunks(df, _rows(df), chunk_rows) if chunks is None else chunks, fan_in)
+    rounds = rounds_for(chunk_count(df, chunk_rows) if chunks is None else chunks, fan_in)
     slot, rank = free_name(df, "slot"), free_name(df, "rank")
     ties = [c for c in df.columns if c not in {*order, *keys}]
     last = [F.col(c).desc_nulls_last() for c in [*order, *ties]]
@@ -105,5 +106,5 @@ def heavy_keys(df: DataFrame, fields: Sequence[str], share: float, fan_in: int =
     """The non-null key values that hold at least ``share`` of all rows: (key_field, key_value, n_rows)."""
     total = _rows(df)
     rows = unpivot_keys(df, fields, [])
-    counts = tree_aggregate(rows, ["key_field", "key_value"], {"n_rows": ("count", None)}, chunk_rows, fan_in, _chunks(df, total, chunk_rows))
+    counts = tree_aggregate(rows, ["key_field", "key_value"], {"n_rows": ("count", None)}, chunk_rows, fan_in, chunk_count(df, chunk_rows, len(fields), total))
     return counts.where(F.col("key_value").isNotNull() & (F.col("n_rows") >= total * share))

@@ -68,4 +68,6 @@ def test_long_chain_and_flaws(spark):
         tree = hierarchy(df, "id", "parent", "thread", **kw)
         assert tree.agg({"depth": "max"}).first()[0] == 999
         assert [tuple(r) for r in flaws(tree).collect()] == [(700, "wrong_thread")]
+    bare = hierarchy(df, "id", "parent", "thread", paths=False, max_component=10, solve_rows=10)
+    assert bare.agg({"depth": "max"}).first()[0] == 999 and bare.where("path IS NOT NULL OR n_descendants IS NOT NULL").count() == 0
     assert descendants(tree).where("node = 990").count() == 10
