@@ -61,10 +61,11 @@ def lookup(df: DataFrame, keys: dict[str, list]) -> DataFrame:
     return df
 
 
-def lookup_greater(df: DataFrame, bounds: dict[str, object], order: Sequence[str], limit: int | None = None, offset: int = 0) -> DataFrame:
-    """Rows at or above the bounds, in order: the bound itself is included."""
+def lookup_greater(df: DataFrame, bounds: dict[str, object], order: Sequence[str], limit: int | None = None, offset: int = 0, signs: dict[str, str] | None = None) -> DataFrame:
+    """Rows beyond the bounds, in order: a bound from below (``>`` and ``>=``) is included, one from above is by its sign."""
     for name, value in bounds.items():
-        df = df.where(F.col(name) >= F.lit(value))
+        c, v = F.col(name), F.lit(value)
+        df = df.where({"<": c < v, "<=": c <= v}.get((signs or {}).get(name, ">="), c >= v))
     df = df.orderBy(*[F.col(c).asc_nulls_first() for c in order]).offset(offset)
     return df if limit is None else df.limit(limit)
 

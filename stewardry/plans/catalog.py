@@ -87,6 +87,10 @@ class View:
     keys: list[str] = field(default_factory=list)
     bounds: list[tuple[str, str]] = field(default_factory=list)
     hidden: list[str] = field(default_factory=list)
+    #: Parameters that stay in the plan, in order, with the column and sign that each is compared with.
+    params: list[tuple[str, str]] = field(default_factory=list)
+    #: Whether its rows are kept, and changed with what it reads.
+    stored: bool = False
 
 
 @dataclass
@@ -120,6 +124,6 @@ class Catalog:
         for i in raw["indexes"]:
             catalog.indexes[i["name"]] = Index(**i)
         for v in raw["views"]:
-            v["bounds"] = [tuple(b) for b in v["bounds"]]
+            v["bounds"], v["params"] = [tuple(b) for b in v["bounds"]], [tuple(b) for b in v.get("params", [])]
             catalog.views[v["name"]] = View(**v)
         return catalog

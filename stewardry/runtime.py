@@ -37,6 +37,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_bare(df: DataFrame) -> DataFrame:
+    """``cut`` for rows that one plan uses several times: without what the optimiser knows of their values, which it cannot carry over to a second use of a checkpoint."""
+    conf, name = df.sparkSession.conf, "spark.sql.constraintPropagation.enabled"
+    before = conf.get(name, "true")
+    conf.set(name, "false")
+    try:
+        return cut(df)
+    finally:
+        conf.set(name, before)
+
+
 def free_name(df: DataFrame, wish: str) -> str:
     """A column name that does not clash with the input's own columns."""
     taken = {c.lower() for c in df.columns}

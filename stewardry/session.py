@@ -2,20 +2,27 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stewardry.operators import dml, gdpr
 from stewardry.operators.ownership import copies, orphans
-from stewardry.plans import ddl, graph, views
-from stewardry.plans.catalog import CatalogError
-from stewardry.runtime import cut
+from stewardry.plans import ddl, delta, graph, incremental, views
+from stewardry.plans.catalog import CatalogError, View
+from stewardry.runtime import cut, cut_bare
 from stewardry.sources.store import Store
 
 
+def _rows_of(view: View) -> str:
+    """The name under which the store keeps a view's rows; no table can have it."""
+    return f"{view.name}.view"
+
+
 @dataclass
 class Result:
     """What a statement gives: success, a number of touched copies, or result sets by name."""
@@ -46,10 +53,19 @@ class Engine:
         self.ctx: dict[str, DataFrame] | None = None
         self.auto_ctx = False
         self.prepared: dict[int, str] = {}
+        self.attached: dict[str, DataFrame] = {}
 
     # --- tables
 
+    def attach(self, name: str, df: DataFrame) -> None:
+        """Lets statements of this session read ``df`` as a table; it cannot be changed and is not stored."""
+        if self.catalog.taken(name):
+            raise CatalogError(f"{name} exists")
+        self.attached[name.lower()] = df
+
     def table(self, name: str) -> DataFrame:
+        if name.lower() in self.attached:
+            return self.attached[name.lower()]
         return self.store.table(self.catalog.table(name).name)
 
     @property
@@ -67,7 +83,41 @@ class Engine:
         if rows.groupBy(t.key).count().where("count > 1").limit(1).count() or rows.join(self.table(name).select(t.key), t.key, "left_semi").limit(1).count():
             raise CatalogError("PK exists!")
         dml.check_targets(self.catalog, self.tables, t, rows)
-        self.store.commit({t.name: self.table(name).unionByName(rows)})
+        self._commit({t.name: (delta.weighted(rows), self.table(name).unionByName(rows))}, added=True, rows={} if t.name in self.store.tables else {t.name: rows.count()})
+
+    def _commit(self, changed: dict[str, tuple[DataFrame, DataFrame]], counters: dict[str, int] | None = None, added: bool = False, rows: dict[str, int] | None = None) -> None:
+        """Commits changes of tables, given as (weighted rows, new contents), together with those of all stored views that read them, in order of creation."""
+        stored = [v for v in self.catalog.views.values() if v.stored]
+        changes = {name: cut_bare(d) if stored or not added else d for name, (d, _) in changed.items()}
+        known: dict[str, incremental.Source] = {}
+        for name in self.catalog.tables if stored else ():
+            old = self.table(name)
+            known[name.lower()] = incremental.Source(old, changed[name][1] if name in changed else old, changes.get(name))
+        for v in stored:
+            old = self._read_view(v)
+            read = {n.lower(): known[n.lower()] for n in self._needed(v.plan) if n.lower() != v.name.lower()}
+            moved = incremental.change(self.spark.sql, v.plan, read, old)
+            if moved is not None:
+                moved = cut_bare(moved)
+                changes[_rows_of(v)] = moved
+            known[v.name.lower()] = incremental.Source(old, old if moved is None else delta.apply(old, moved), moved)
+        self.store.commit(changes, counters, set(changed) if added else set(), rows)
+
+    def materialise(self, name: str) -> None:
+        """Keeps the rows of a view, and of the views it reads; from now on every statement changes only the rows that it affects."""
+        v = self.catalog.view(name)
+        if v is None or v.params:
+            raise CatalogError(f"no view {name}, or one with parameters that reads must bind")
+        for other in self._needed(v.plan):
+            if other.lower() in self.attached:
+                raise CatalogError(f"{other} is attached: its changes are not seen")
+            if (below := self.catalog.view(other)) and below is not v and not below.stored:
+                self.materialise(other)
+        made = self._read_view(v)
+        self.store.declare(_rows_of(v), made, (v.keys or made.columns)[0], made.count())
+        self.store.commit({_rows_of(v): delta.weighted(made)}, added={_rows_of(v)})
+        v.stored = True
+        self.store.save_catalog()
 
     # --- statements
 
@@ -108,7 +158,7 @@ class Engine:
         if self.catalog.taken(s.name):
             raise CatalogError(f"{s.name} exists")
         view = views.keyed(s.name, s.select, self.compat)
-        self._query(view.plan)  # must be sound now
+        self._read_view(view, [None] * len(view.params))  # must be sound now
         self.catalog.views[s.name] = view
         if not s.name.startswith("_"):
             self.store.save_catalog()
@@ -119,54 +169,88 @@ class Engine:
         if view is None or any(re.search(rf"\b{s.name}\b", v.plan, re.I) for v in self.catalog.views.values() if v is not view):
             raise CatalogError(f"no view {s.name}, or another one reads it")
         del self.catalog.views[view.name]
+        self.store.drop(_rows_of(view))
         self.store.save_catalog()
         return Result()
 
     def _query(self, text: str, args: list | None = None) -> DataFrame:
         for name in self._needed(text):
             view = self.catalog.view(name)
-            df = self._query(view.plan) if view else self.table(name)
+            df = self._read_view(view) if view else self.table(name)
             df.createOrReplaceTempView(name)
         return self.spark.sql(text, args=args) if args else self.spark.sql(text)
 
+    def _read_view(self, view: View, args: list | None = None) -> DataFrame:
+        """A view's rows; parameters that stay in its plan are bound now."""
+        if view.stored:
+            return self.store.table(_rows_of(view))
+        if view.params and args is None:
+            raise CatalogError(f"{view.name} is read by lookup(), with values for its parameters")
+        return self._query(view.plan, args)
+
     def _needed(self, text: str) -> list[str]:
-        return [n for n in (*self.catalog.tables, *self.catalog.views) if re.search(rf"(?<![\w.]){re.escape(n)}\b", text, re.I)]
+        return [n for n in (*self.catalog.tables, *self.catalog.views, *self.attached) if re.search(rf"(?<![\w.]){re.escape(n)}\b", text, re.I)]
 
     def _select(self, s: ddl.Statement) -> Result:
         text = views.semantics(s.select, self.compat)
+        if (at_read := self._bound_read(text, s.values)) is not None:
+            return Result(sets={"result": at_read})
         m = re.fullmatch(r"\s*SELECT\s+\*\s+FROM\s+`?(\w+)`?(.*)", text, re.I | re.S)
         view = self.catalog.view(m.group(1)) if m else None
         if view and view.hidden:
-            shown = [c for c in self._query(view.plan).columns if c.lower() not in {h.lower() for h in view.hidden}]
+            shown = [c for c in self._read_view(view).columns if c.lower() not in {h.lower() for h in view.hidden}]
             text = f"SELECT {', '.join(f'`{c}`' for c in shown)} FROM {m.group(1)}{m.group(2)}"
         return Result(sets={"result": self._query(text, s.values)})
 
+    def _bound_read(self, text: str, args: list | None) -> DataFrame | None:
+        """``SELECT * FROM view WHERE column = value`` of a view whose parameters stay in its plan: the values are the parameters'."""
+        m = re.fullmatch(r"\s*SELECT\s+\*\s+FROM\s+`?(\w+)`?\s+(WHERE\s.*?)\s*", text, re.I | re.S)
+        view = self.catalog.view(m.group(1)) if m else None
+        if view is None or not view.params:
+            return None
+        given = {(c.lower(), sign): value for c, sign, value in ddl._where(ddl.Tokens(m.group(2)), list(args or []))}
+        wanted = [(c.lower(), sign) for c, sign in view.params]
+        if set(given) != set(wanted):
+            raise CatalogError(f"{view.name} needs a value for each of its parameters and nothing else")
+        return self._read_view(view, [given[w] for w in wanted])
+
     def lookup(self, view: str, keys: list | None = None, greater: dict[str, object] | None = None, limit: int | None = None, offset: int = 0) -> DataFrame:
-        """Rows of a keyed view for the values of its keys, or at and above bounds (included), in the bounds' order."""
+        """Rows of a keyed view for the values of its keys (a list of values asks for each), or beyond bounds, in the bounds' order.
+
+        A ``>`` bound is included, as a ``>=`` one; ``<`` is not, ``<=`` is. Of a view
+        whose parameters stay in its plan, ``keys`` are their values in order.
+        """
         from stewardry.operators.relational import lookup, lookup_greater
 
         v = self.catalog.view(view)
         if v is None:
             raise CatalogError(f"no view {view}")
-        df = self._query(v.plan)
-        if keys is not None:
-            df = lookup(df, {k: x if isinstance(x, list) else [x] for k, x in zip(v.keys, keys)})
+        if v.params:
+            if len(keys or []) != len(v.params):
+                raise CatalogError(f"{v.name} has {len(v.params)} parameters")
+            asked = itertools.product(*[x if isinstance(x, list) else [x] for x in keys])
+            df = reduce(DataFrame.unionByName, [self._read_view(v, list(one)) for one in asked])
+        else:
+            df = self._read_view(v)
+            if keys is not None:
+                df = lookup(df, {k: x if isinstance(x, list) else [x] for k, x in zip(v.keys, keys)})
         if greater or limit is not None or offset:
-            df = lookup_greater(df, greater or {}, list(greater or []), limit, offset)
+            signs = {c.lower(): s for c, s in v.bounds}
+            df = lookup_greater(df, greater or {}, list(greater or []), limit, offset, {c: signs.get(c.lower(), ">=") for c in greater or {}})
         return df.drop(*v.hidden)
 
-    def _change(self, change: dml.Change) -> Result:
+    def _change(self, change: dml.Change, added: bool = False) -> Result:
         if change.orphans and self.ctx is None and not self.auto_ctx:
             some = {n: [r.pk for r in df.limit(5).collect()] for n, df in change.orphans.items()}
             raise CatalogError(f"Orphaned data: {some}")
         if self.ctx is not None:
             for name, pks in change.orphans.items():
                 self.ctx[name] = self.ctx[name].unionByName(pks) if name in self.ctx else pks
-        self.store.commit({change.table: change.contents}, change.counters)
+        self._commit({change.table: (change.delta, change.contents)}, change.counters, added)
         return Result(updated=change.count)
 
     def _insert(self, s: ddl.Statement) -> Result:
-        return self._change(dml.insert(self.catalog, self.tables, s.name, s.columns, s.values, self.store.counters))
+        return self._change(dml.insert(self.catalog, self.tables, s.name, s.columns, s.values, self.store.counters), added=True)
 
     def _replace(self, s: ddl.Statement) -> Result:
         return self._change(dml.replace(self.catalog, self.tables, s.name, s.columns, s.values, self.store.counters))
@@ -191,7 +275,8 @@ class Engine:
     def _forget(self, s: ddl.Statement) -> Result:
         gone = gdpr.forget(self.catalog, self.tables, *self._subject(s))
         count = int(gone.count.first()[0])
-        self.store.commit(gone.tables)
+        self._commit({name: (gone.deltas[name], contents) for name, contents in gone.tables.items()})
+        self.store.vacuum()  # no file of the store holds what was erased
         return Result(updated=count)
 
     def _ctx(self, s: ddl.Statement) -> Result:
@@ -280,7 +365,7 @@ class Engine:
                 raise CatalogError(f"no view {s.columns[0]}")
             return self._rows([(v.name, v.sql, ",".join(v.keys), ",".join(f"{c} {x}" for c, x in v.bounds))], "name string, sql string, keys string, bounds string")
         if s.name == "MEMORY":
-            return self._rows([(v.name, self._query(v.plan).count()) for v in self.catalog.views.values()], "view string, rows bigint")
+            return self._rows([(v.name, self._read_view(v).count()) for v in self.catalog.views.values() if not v.params], "view string, rows bigint")
         if s.name == "PREPARED":
             return self._rows(list(self.prepared.items()), "id bigint, statement string")
         if s.name == "INDICES":

@@ -15,7 +15,7 @@ _KINDS = {"bigint": "INT", "int": "INT", "string": "TEXT", "timestamp_ntz": "DAT
 
 
 class StoredView:
-    """Rows of a view in a versioned store; applying a batch twice changes nothing."""
+    """Rows of a view in a versioned store, in buckets by the first column; a batch rewrites the buckets it touches, and applying it twice changes nothing."""
 
     def __init__(self, spark: SparkSession, root: str, schema: str):
         self.store = Store(spark, root)
@@ -30,7 +30,7 @@ class StoredView:
     def apply(self, change: DataFrame, batch: int) -> None:
         if batch <= self.store.counters.get("batch", -1):
             return  # replayed after a failure
-        self.store.commit({"rows": delta.apply(self.rows(), change)}, {"batch": batch})
+        self.store.commit({"rows": change}, {"batch": batch})
 
 
 def maintain(changes: DataFrame, view: StoredView, checkpoint: str, plan: Callable[[DataFrame], DataFrame] | None = None, **trigger) -> StreamingQuery:
