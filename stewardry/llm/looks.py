@@ -12,8 +12,8 @@ Defined cases: a null text stays null and looks like nothing; an empty text
 looks like one of invisible characters only; every blank of any width (tabs
 included) is a plain space and each counts; CR, CR LF and the Unicode line and
 paragraph separators are line feeds; superscripts, subscripts, circled
-characters and fractions keep their own look; accents and case count. A cluster
-with no composed form stays decomposed, in canonical order. Repeated rows
+characters and fractions keep their own look; accents and case count. A mark
+with no composed form stays behind its base, in canonical order. Repeated rows
 give repeated results; an empty table gives none; further columns are kept,
 whatever their names, except that clashing new columns get a longer name.
 """
@@ -21,9 +21,10 @@ whatever their names, except that clashing new columns get a longer name.
 from __future__ import annotations
 
 import functools
+import json
 import unicodedata
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stewardry.runtime import cut, free_name, join_hot, sha_key
@@ -39,7 +40,16 @@ LOOK_ALIKES = {
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T",
     "Υ": "Y", "Χ": "X", "ο": "o", "ν": "v", "ρ": "p", "ϲ": "c", "ϳ": "j", "Ϲ": "C", "Ϳ": "J",
     # other
-    "օ": "o", "ɡ": "g", "‐": "-",
+    "օ": "o", "ɡ": "g", "‐": "-", "κ": "k", "υ": "u", "ι": "i", "ɑ": "a", "ı": "i", "ᴄ": "c", "ᴏ": "o", "ꜱ": "s", "ᴜ": "u", "ᴠ": "v", "ᴡ": "w", "ᴢ": "z", "⁄": "/", "∕": "/",
+    # Armenian
+    "Տ": "S", "Օ": "O", "Լ": "L", "հ": "h", "ո": "n", "ս": "u", "ց": "g", "զ": "q",
+    # Cherokee
+    "Ꭺ": "A", "Ᏼ": "B", "Ꮯ": "C", "Ꭰ": "D", "Ꭼ": "E", "Ꮐ": "G", "Ꮋ": "H", "Ꭻ": "J", "Ꮶ": "K", "Ꮮ": "L", "Ꮇ": "M", "Ꮲ": "P", "Ꭱ": "R", "Ꮪ": "S", "Ꭲ": "T", "Ꮩ": "V", "Ꮃ": "W", "Ꮓ": "Z",
+    # Coptic
+    "Ⲏ": "H", "Ⲓ": "I", "Ⲕ": "K", "Ⲙ": "M", "Ⲛ": "N", "Ⲟ": "O", "ⲟ": "o", "Ⲣ": "P", "ⲣ": "p", "Ⲥ": "C", "ⲥ": "c", "Ⲧ": "T", "Ⲩ": "Y", "Ⲭ": "X",
+    # Lisu
+    "ꓐ": "B", "ꓑ": "P", "ꓓ": "D", "ꓔ": "T", "ꓖ": "G", "ꓗ": "K", "ꓙ": "J", "ꓚ": "C", "ꓜ": "Z", "ꓝ": "F", "ꓟ": "M", "ꓠ": "N", "ꓡ": "L", "ꓢ": "S", "ꓣ": "R", "ꓦ": "V", "ꓧ": "H", "ꓪ": "W", "ꓫ": "X",
+    "ꓬ": "Y", "ꓮ": "A", "ꓰ": "E", "ꓲ": "I", "ꓳ": "O", "ꓴ": "U",
 }
 
 #: Kinds of compatibility decompositions that keep the look.
@@ -89,6 +99,35 @@ def _tables() -> tuple[list, list]:
     return mapped, composed
 
 
+@functools.cache
+def _pairs() -> str:
+    """What composes with what, as JSON: a base, composed or not, and a mark."""
+    pairs = {}
+    for i in range(0x110000):
+        parts = unicodedata.decomposition(chr(i))
+        if parts and not parts.startswith("<") and " " in parts and unicodedata.normalize("NFC", chr(i)) == chr(i):
+            pair = "".join(chr(int(x, 16)) for x in parts.split())
+            if not any(x in LOOK_ALIKES for x in pair) and unicodedata.combining(pair[-1]):
+                pairs[pair] = chr(i)
+    return json.dumps(pairs)
+
+
+def _composed(marks: Column) -> Column:
+    """A cluster with each mark composed that nothing between it and its base blocks; ``marks`` are in canonical order, the base first."""
+    pairs = F.from_json(F.lit(_pairs()), "map<string,string>")
+    first = F.element_at(marks, 1)
+    start = F.struct(first["part"].alias("base"), F.lit("").alias("rest"), F.lit(0).alias("last"))
+
+    def step(done: Column, x: Column) -> Column:
+        made = F.element_at(pairs, F.concat(done["base"], x["part"]))
+        free = (done["rest"] == "") | (done["last"] < x["class"])
+        joined = F.struct(made.alias("base"), done["rest"].alias("rest"), done["last"].alias("last"))
+        kept = F.struct(done["base"].alias("base"), F.concat(done["rest"], x["part"]).alias("rest"), x["class"].alias("last"))
+        return F.when(free & made.isNotNull(), joined).otherwise(kept)
+
+    return F.aggregate(F.slice(marks, 2, F.greatest(F.size(marks) - 1, F.lit(0))), start, step, lambda done: F.concat(done["base"], done["rest"]))
+
+
 def _stretches(text: str):
     return F.regexp_extract_all(text, F.lit(STRETCH), F.lit(0))
 
@@ -105,9 +144,9 @@ def _normal_forms(spark: SparkSession, stretches: DataFrame) -> DataFrame:
     order = Window.partitionBy("stretch").orderBy("at", "sub")
     points = points.withColumn("cluster_no", F.sum(F.col("starts").cast("int")).over(order))
     ordered = F.array_sort(F.collect_list(F.struct("class", "at", "sub", "part")))
-    clusters = points.groupBy("stretch", "cluster_no").agg(F.array_join(F.transform(ordered, lambda x: x["part"]), "").alias("cluster"))
+    clusters = points.groupBy("stretch", "cluster_no").agg(F.array_join(F.transform(ordered, lambda x: x["part"]), "").alias("cluster"), ordered.alias("marks"))
     clusters = clusters.join(F.broadcast(compositions), "cluster", "left")  # fixed size: Unicode's
-    pieces = F.array_sort(F.collect_list(F.struct("cluster_no", F.coalesce("one", "cluster").alias("text"))))
+    pieces = F.array_sort(F.collect_list(F.struct("cluster_no", F.coalesce("one", F.when(F.size("marks") > 2, _composed(F.col("marks"))).otherwise(F.col("cluster"))).alias("text"))))
     forms = clusters.groupBy("stretch").agg(F.array_join(F.transform(pieces, lambda x: x["text"]), "").alias("form"))
     # a stretch of invisible characters only has no points left
     return stretches.join(forms, "stretch", "left").select("stretch", "n", F.coalesce("form", F.lit("")).alias("form"))
@@ -131,17 +170,32 @@ def normalise(df: DataFrame, text: str = "text", out: str = "look") -> DataFrame
     return base.where(~strange).select(*df.columns, F.col(plain).alias(out)).unionByName(changed)
 
 
+def _looks(df: DataFrame, identifier: str, text: str) -> DataFrame:
+    """(id, string_key, look_key) of all rows with a text."""
+    base = df.select(F.col(identifier).alias("id"), F.col(text).alias("text"))
+    return normalise(base, "text", "look").where(F.col("look").isNotNull()).select("id", sha_key("text").alias("string_key"), sha_key("look").alias("look_key"))
+
+
 def same_look_pairs(df: DataFrame, identifier: str, text: str = "text") -> DataFrame:
     """(id_a, id_b), a < b, of rows whose texts look the same without being the same string.
 
-    Classes that hold one string only, such as a third of all rows being blank,
-    are left out before any rows are joined.
+    Distinct strings of a look are paired, not rows, and looks of one string only,
+    such as a third of all rows being blank, pair nothing; what comes out is then
+    the only thing that can grow faster than the rows. ``look_classes`` does not grow so.
     """
-    base = df.select(F.col(identifier).alias("id"), F.col(text).alias("text"))
-    looks = normalise(base, "text", "look").where(F.col("look").isNotNull()).select("id", sha_key("text").alias("string_key"), sha_key("look").alias("look_key"))
-    looks = cut(looks)
-    mixed = looks.groupBy("look_key").agg((F.min("string_key") != F.max("string_key")).alias("mixed")).where("mixed").select("look_key")
-    some = looks.join(mixed, "look_key")
-    a, b = some.alias("a"), some.alias("b")
-    on = (F.col("a.look_key") == F.col("b.look_key")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.string_key") != F.col("b.string_key"))
-    return a.join(b, on).select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"))
+    looks = cut(_looks(df, identifier, text))
+    strings = looks.groupBy("look_key", "string_key").agg(F.count(F.lit(1)).alias("n"))
+    a, b = strings.select("look_key", F.col("string_key").alias("a")), strings.select("look_key", F.col("string_key").alias("b"))
+    pairs = cut(a.join(b, "look_key").where(F.col("a") < F.col("b")).select("a", "b"))
+    left = looks.select(F.col("string_key").alias("a"), F.col("id").alias("id_1"))
+    right = looks.select(F.col("string_key").alias("b"), F.col("id").alias("id_2"))
+    rows = pairs.join(left, "a").join(right, "b").where(F.col("id_1") != F.col("id_2"))
+    return rows.select(F.least("id_1", "id_2").alias("id_a"), F.greatest("id_1", "id_2").alias("id_b"))
+
+
+def look_classes(df: DataFrame, identifier: str, text: str = "text") -> DataFrame:
+    """(id, representative, n_rows, n_strings): a row per text, with the least id that looks the same, and how many rows and strings do."""
+    looks = cut(_looks(df, identifier, text))
+    strings = looks.groupBy("look_key", "string_key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least"))
+    classes = strings.groupBy("look_key").agg(F.min("least").alias("representative"), F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("n_strings"))
+    return join_hot(looks.select("id", "look_key"), classes.withColumn("heat", F.col("n_rows")), ["look_key"], "heat").select("id", "representative", "n_rows", "n_strings")
