@@ -2,11 +2,12 @@
 
 Mentions of email addresses, phone numbers, identity numbers, street addresses
 and personal names are found per text. Every distinct entity gets a keyed
-surrogate of its own kind: digits and letters keep their places, names keep
-gender, script and letter case, addresses keep their layout. Surrogates are
-checked against each other and against the real entities across the whole
-corpus; colliding ones are drawn again, so different entities stay different
-and one entity, however it is written, gets one surrogate. ``redacted`` holds the
+surrogate of its own kind: numbers are permuted within their format, names keep
+gender, script and letter case, initials follow the names they begin, addresses keep
+their layout. Surrogates are checked, as they will stand in the text, against each
+other and against the real entities across the whole corpus; colliding ones are
+drawn again, so different entities stay different and one entity, however it is
+written, gets one surrogate. ``redacted`` holds the
 text with typed placeholders, ``surrogate`` the same text with surrogates.
 
 Defined cases: a null text gives null texts and no mentions; an empty text
@@ -18,12 +19,14 @@ further columns, also of clashing names, do not matter.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import hmac
 import re
 import unicodedata
 from bisect import bisect_left
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -107,17 +110,9 @@ ADDRESS = re.compile(
 _ADDRESS_SURE = re.compile(rf",|\n|box|{_POST}|\b(?:rue|calle|avenida|plaza)\b|gasse|straße|(?<!\w)\d+\w? {_UP}")
 
 _TITLE = "(?:" + "|".join((*TITLES_FEMALE, *TITLES_MALE, *TITLES_ANY)) + r")\b\.?"
-_NAME_WORD = rf"{_UP}(?:{_L}|['’](?={_L})|-(?={_L}))+"
 _ANY_WORD = rf"{_L}(?:{_L}|['’](?={_L})|-(?={_L}))+"
 
 
-def _shape(word: str) -> str:
-    """The grammar of a name over words of one shape."""
-    initial = rf"{_UP}\." if word == _NAME_WORD else rf"{_L}\."
-    return rf"(?:{_TITLE}{_B}+)?(?:{word},{_B}?(?:{word}|{initial})(?:{_B}{initial})?|(?:(?:{word}|{initial}){_B}+)?(?:{initial}{_B}*){{0,2}}{word})"
-
-
-NAME_CAPS = re.compile(rf"(?<![\w@.+/\\-]){_shape(_NAME_WORD)}(?![\w@]|-\w|[.]\w)")
 _ITEM = re.compile(rf"(?:({_TITLE})(?={_B}))|({_ANY_WORD}|{_L}\.|{_L}\b)|,")
 _CUE_BEFORE = re.compile(r"(?<!\w)(?:" + "|".join(map(re.escape, CUES_BEFORE)).replace(r"\ ", r"\s") + r")\s*[\"'(]?", re.I)
 _CUE_AFTER = re.compile(r"[\"')]?,?\s*(?:" + "|".join(map(re.escape, CUES_AFTER)).replace(r"\ ", r"\s") + r")\b", re.I)
@@ -142,7 +137,6 @@ class Detector:
     def __init__(self, given: set[str], family: set[str]):
         self.given, self.family = {fold(x) for x in given}, {fold(x) for x in family}
         self.listed = self.given | self.family
-        self.first = {x[:3] for x in self.listed}
 
     def find(self, text: str) -> list[tuple[int, int, str]]:
         """(start, end, type), in order and without overlaps."""
@@ -347,37 +341,45 @@ def _scan(given: list[str], family: list[str], everything: bool):
 
 # --- entities and surrogates ---------------------------------------------------
 
-_MENTIONS = "array<struct<start:int,stop:int,pii_type:string,parts:array<struct<kind:string,entity:string>>>>"
+_MENTIONS = "array<struct<start:int,stop:int,pii_type:string,parts:array<struct<kind:string,entity:string,hint:int>>>>"
+
+# Common given names whose gender their ending does not tell.
+_MEN = frozenset("luca andrea nikita joshua elia mike luke george pierre andre philippe guillaume antoine jerome etienne bruce wayne dale kyle steve dave joe pete jose jorge felipe enrique vicente uwe malte arne".split())
+_WOMEN = frozenset("ingrid astrid karin carmen isabel raquel beatriz ines margot ruth esther kathryn susan helen joan karen megan erin lauren mary emily lucy nancy betty dorothy sarah elizabeth judith gertrud ingeborg manon marion".split())
+
 
+def is_woman(given: str) -> bool:
+    return given in _WOMEN or given not in _MEN and given[-1:] in {"a", "e", "а", "я", "α", "η"}
 
-def parts(mention: str, kind: str) -> list[dict[str, str]]:
-    """The entities of a mention: a name's given and family names count by themselves, so that short and full forms corefer."""
+
+def parts(mention: str, kind: str) -> list[dict]:
+    """The entities of a mention: given and family names count by themselves, so that all forms of a name corefer.
+
+    ``hint`` is what a title says of a given name: 1 for a woman, -1 for a man.
+    """
     if kind == "NAME":
         words = [w for w in re.findall(rf"{_ANY_WORD}|{_L}\.", mention)]
-        titled = [w for w in words if w.rstrip(".").lower() in _TITLE_WORDS]
-        words = [w for w in words if w not in titled]
-        full = [w for w in words if not w.endswith(".")]
+        titled = [w.rstrip(".").lower() for w in words if w.rstrip(".").lower() in _TITLE_WORDS]
+        full = [w for w in words if not w.endswith(".") and w.lower() not in _TITLE_WORDS]
         if not full:
             return []
-        last = full[0] if "," in mention else full[-1]
-        woman = any(w.rstrip(".").lower() in {x.lower() for x in TITLES_FEMALE} for w in titled)
-        man = any(w.rstrip(".").lower() in {x.lower() for x in TITLES_MALE} for w in titled)
-        out = [{"kind": "family", "entity": fold(last)}]
-        for w in full:
-            if w is not last:
-                folded = fold(w)
-                female = woman or not man and folded[-1] in "ae"
-                out.append({"kind": "given_f" if female else "given_m", "entity": folded})
-        return out
+        last = 0 if "," in mention else len(full) - 1
+        hint = any(w in _OF_WOMEN for w in titled) - any(w in _OF_MEN for w in titled)
+        return [{"kind": "family" if k == last else "given", "entity": fold(w), "hint": 0 if k == last else hint} for k, w in enumerate(full)]
     if kind == "EMAIL":
         plain = re.sub(_DOT, ".", re.sub(_AT, "@", mention, count=1)).lower()
-        return [{"kind": "email", "entity": plain.removeprefix("mailto:")}]
-    if kind == "PHONE":
-        digits = "".join(DIGIT_WORDS.get(w, "") for w in re.findall("[a-z]+", mention.lower())) or re.sub(r"\D", "", mention)
-        return [{"kind": "phone", "entity": digits}]
-    if kind == "ID_NUMBER":
-        return [{"kind": "id", "entity": re.sub(r"[^\w]", "", mention).upper()}]
-    return [{"kind": "address", "entity": re.sub(r"[^\w]+", " ", fold(mention)).strip()}]
+        entity = ("email", plain.removeprefix("mailto:"))
+    elif kind == "PHONE":
+        digits = "".join(DIGIT_WORDS.get(w, "") for w in re.findall("[a-z]+", mention.lower())) or re.sub(r"\D", "", unicodedata.normalize("NFKC", mention))
+        entity = ("phone", digits)
+    elif kind == "ID_NUMBER":
+        entity = ("id", re.sub(r"[^\w]", "", unicodedata.normalize("NFKC", mention)).upper())
+    else:
+        entity = ("address", re.sub(r"[^\w]+", " ", fold(mention)).strip())
+    return [{"kind": entity[0], "entity": entity[1], "hint": 0}]
+
+
+_OF_WOMEN, _OF_MEN = ({x.lower() for x in titles} for titles in (TITLES_FEMALE, TITLES_MALE))
 
 
 def _digest(key: bytes, *what: object) -> int:
@@ -386,7 +388,44 @@ def _digest(key: bytes, *what: object) -> int:
 
 _ONSETS = ("b", "br", "c", "d", "dr", "f", "g", "gl", "h", "j", "k", "l", "m", "n", "p", "pr", "r", "s", "st", "t", "tr", "v", "w", "z")
 _VOWELS, _CODAS = ("a", "e", "i", "o", "u"), ("", "l", "n", "r", "s", "m", "")
-_CYRILLIC = dict(zip("abcdefghijklmnoprstuvwz", "абцдефгхийклмнопрстувуз"))
+_LATIN = "abcdefghijklmnopqrstuvwxyz"
+#: Alphabets of the scripts in which surrogates are pronounceable, and how Latin syllables are written in them.
+_ALPHABETS = {"latin": _LATIN, "cyrillic": "абвгдежзийклмнопрстуфхцчшщэюя", "greek": "αβγδεζηθικλμνξοπρστυφχψω"}
+_WRITTEN = {"cyrillic": str.maketrans("abcdefghijklmnopqrstuvwxyz", "абцдефгхийклмнопкрстувухиз"), "greek": str.maketrans("abcdefghijklmnopqrstuvwxyz", "αβκδεφγηιζκλμνοπκρστυβωξυζ")}
+
+
+def _script(text: str) -> str:
+    for c in text:
+        for script, letters in _ALPHABETS.items():
+            if c in letters or script == "cyrillic" and "\u0400" <= c <= "\u04ff" or script == "greek" and "\u0370" <= c <= "\u03ff":
+                return script
+        if c.isalpha() and not "\u00c0" <= c <= "\u024f":
+            return ""
+    return "latin"
+
+
+@functools.lru_cache(4096)
+def letter(key: bytes, c: str) -> str:
+    """The letter that stands for an initial: a keyed permutation of the alphabet, which also begins the surrogates of given names."""
+    low = fold(c)[:1] or c
+    alphabet = _ALPHABETS.get(_script(low), "")
+    if low not in alphabet or not alphabet:
+        return _same_block(key, "initial", low, 0)
+    mixed = sorted(alphabet, key=lambda x: _digest(key, "letter", x))
+    made = mixed[(mixed.index(low) + 1) % len(mixed)]  # one ring, so that no letter stands for itself
+    return made.upper() if c.isupper() else made
+
+
+def _same_block(key: bytes, kind: str, entity: str, attempt: int) -> str:
+    """Letters of other scripts give way to letters of their own block."""
+    out = []
+    for i, c in enumerate(unicodedata.normalize("NFC", entity)):
+        if c.isalpha():
+            first, n = (0xAC00, 11172) if "\uac00" <= c <= "\ud7a3" else (0x4E00, 20902) if "\u4e00" <= c <= "\u9fff" else (ord(c) & ~0x3F, 64)
+            some = range(first, first + n) if n > 64 else [x for x in range(first, first + n) if unicodedata.category(chr(x)) == unicodedata.category(c)]
+            c = chr(some[_digest(key, kind, entity, attempt, i) % len(some)])
+        out.append(c)
+    return "".join(out)
 
 
 def _syllables(number: int, count: int, end: str = "") -> str:
@@ -399,50 +438,90 @@ def _syllables(number: int, count: int, end: str = "") -> str:
     return out + end
 
 
-def draw(key: bytes, kind: str, entity: str, attempt: int) -> str:
-    """The keyed surrogate of an entity in its plain form."""
+def permuted(key: bytes, text: str, tweak: object = "") -> str:
+    """A keyed permutation of all texts with digits, capitals and small letters in the same places: different texts never meet."""
+    radix = [10 if c in "0123456789" else 26 for c in text if c.isascii() and c.isalnum()]
+    digit = [ord(c) - (48 if c in "0123456789" else 65 if c.isupper() else 97) for c in text if c.isascii() and c.isalnum()]
+    half = len(radix) // 2
+    shape = "".join("0" if c in "0123456789" else "A" if c.isupper() else "a" if c.isascii() and c.isalpha() else c for c in text)
+    sides, sizes = [0, 0], [1, 1]
+    for k, (d, r) in enumerate(zip(digit, radix)):
+        sides[k >= half], sizes[k >= half] = sides[k >= half] * r + d, sizes[k >= half] * r
+    for r in range(10):  # each step adds to one half what the other one gives, and so can be undone
+        sides[r % 2] = (sides[r % 2] + _digest(key, "permuted", tweak, shape, r, sides[1 - r % 2])) % sizes[r % 2]
+    made = [0] * len(radix)
+    for k in range(len(radix) - 1, -1, -1):
+        sides[k >= half], made[k] = divmod(sides[k >= half], radix[k])
+    values = iter(made)
+    return "".join(chr(ord(s) + next(values)) if c.isascii() and c.isalnum() else c for c, s in zip(text, shape))
+
+
+_STREET_WORDS = frozenset((*STREETS, "flat", "apt", "apartment", "unit", "suite", "no", "box", "rue", "quai", "chemin", "impasse", "calle", "avenida", "plaza", "paseo", "via", "viale", "piazza", "bis", "ter", "du", "de", "des", "la", "d", "p", "o", "po"))
+
+
+def draw(key: bytes, kind: str, entity: str, attempt: int, woman: bool | None = None) -> str:
+    """The keyed surrogate of an entity, as it will stand in the text but for its letter case and separators."""
     n = _digest(key, kind, entity, attempt)
-    if kind == "family":
-        made = _syllables(n, 3, ("mont", "feld", "ley", "ard", "sen", "ova", "ier")[n % 7])
-    elif kind in {"given_f", "given_m"}:
-        made = _syllables(n, 2, ("a", "ia", "ine")[n % 3] if kind == "given_f" else ("o", "us", "ard")[n % 3])
-    elif kind == "email":
-        return f"{_syllables(n, 3)}{n % 1000:03d}@{_syllables(n >> 64, 2)}.example"
-    else:
-        out = []
-        for c in entity:
-            n, r = divmod(n, 2600) if n > 1 << 40 else divmod(_digest(key, kind, entity, attempt, len(out)), 2600)
-            out.append(str(r % 10) if c.isdigit() else chr(97 + r % 26) if c.isalpha() and c.islower() else chr(65 + r % 26) if c.isalpha() else c)
-        made = "".join(out)
-        if kind == "address":
-            words = [w if w.isdigit() or len(w) < 3 else _syllables(_digest(key, kind, entity, attempt, i), 2 + (len(w) > 7)) for i, w in enumerate(made.split(" "))]
-            made = " ".join(words)
-    if kind in {"family", "given_f", "given_m"} and any("а" <= c <= "я" for c in entity):
-        made = "".join(_CYRILLIC.get(c, c) for c in made)
-    return made
-
-
-def render(mention: str, kind: str, found: list[tuple[str, str, str]]) -> str:
-    """The surrogate in the mention's own layout: letter case, order, separators and spelled-out digits."""
+    if kind in {"family", "given"}:
+        script = _script(entity)
+        if not script:
+            return _same_block(key, kind, entity, attempt)
+        if kind == "family":
+            made = _syllables(n, 3 + attempt // 4, ("mont", "feld", "ley", "ard", "sen", "ova", "ier")[n % 7])
+            return made.translate(_WRITTEN.get(script, {}))
+        female = is_woman(entity) if woman is None else woman
+        first = letter(key, entity[0])
+        made = _syllables(n, 2 + attempt // 4, ("a", "ia", "ine")[n % 3] if female else ("o", "us", "ard")[n % 3])
+        bare = made.lstrip("bcdfghjklmnpqrstvwz") if first.translate(_WRITTEN.get(script, {})) not in "aeiouаеиоуαειου" else made
+        return first + bare.translate(_WRITTEN.get(script, {}))
+    if kind == "email":
+        return f"{_syllables(n, 3 + attempt // 4)}{n % 1000:03d}@{_syllables(n >> 64, 2)}.example"
+    if kind == "address":
+        words = entity.split(" ")
+        mixed = [w.isascii() and any(c.isdigit() for c in w) for w in words]
+        same = [m or w in _STREET_WORDS for w, m in zip(words, mixed)]
+        ends = [next((e.strip() for e in _ADDRESS_ENDS if w.endswith(e.strip(" .")) and len(w) > len(e)), "") for w in words]
+        made = [w if s else _syllables(_digest(key, "place", w, attempt), 2 + (len(w) > 7)) + e for w, s, e in zip(words, same, ends)]
+        # numbers and codes change together, by a permutation of their own for every street
+        codes = iter(permuted(key, " ".join(w for w, m in zip(words, mixed) if m), ("address", attempt, *["#" if m else w for w, m in zip(words, mixed)])).split(" "))
+        return " ".join(next(codes) if m else w for w, m in zip(made, mixed))
+    return permuted(key, entity, (kind, attempt))
+
+
+def render(mention: str, kind: str, found: list[tuple[str, str, str]], key: bytes = b"") -> str:
+    """The surrogate in the mention's own layout: letter case, order, separators, initials and spelled-out digits."""
 
     def cased(new: str, old: str) -> str:
         return new.upper() if old.isupper() and len(old) > 1 else new.title() if old[:1].isupper() else new
 
     if kind == "NAME":
         known = {entity: made for _, entity, made in found}
-        return re.sub(_ANY_WORD, lambda m: cased(known[fold(m.group())], m.group()) if fold(m.group()) in known else m.group(), mention)
+
+        def named(m: re.Match) -> str:
+            word = m.group()
+            if m.group(1):
+                return letter(key, word[0]) + word[1:]
+            return cased(known[fold(word)], word) if fold(word) in known and word.lower() not in _TITLE_WORDS else word
+
+        return re.sub(rf"(?<!{_L})({_L}(?:\.|(?!{_L})(?!['’]{_L})))|{_ANY_WORD}", named, mention)
     made = found[0][2] if found else ""
     if kind == "EMAIL":
         return made.upper() if mention.isupper() else made
     if kind == "ADDRESS":
-        words = iter(made.split(" "))
-        street = {*STREETS, "flat", "apt", "box", "rue", "calle", "bis", "du", "de", "p", "o"}
-
-        def swap(m: re.Match) -> str:
-            new = next(words, "")
-            return m.group() if m.group().lower() in street else cased(new, m.group())
-
-        return re.sub(r"\w+", swap, mention)
+        words = made.split(" ")
+        if len(re.findall(r"\w+", mention)) != len(words):  # invisible characters inside its words
+            return made
+        left = iter(words)
+
+        def swapped(m: re.Match) -> str:
+            new = next(left)
+            if fold(m.group()) in _STREET_WORDS:
+                return m.group()
+            if any(c.isdigit() for c in m.group()):  # a code keeps its capitals
+                return "".join(n.upper() if o.isupper() else n for n, o in zip(new, m.group()))
+            return cased(new, m.group())
+
+        return re.sub(r"\w+", swapped, mention)
     chars = iter(made)
     if kind == "PHONE" and not re.search(r"\d", mention):
         back = {v: k for k, v in DIGIT_WORDS.items() if k not in {"zero", "nought"}}
@@ -468,71 +547,92 @@ def mentions(docs: DataFrame, name_parts: DataFrame | None = None, everything: b
 def _draws(key: bytes):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            made = [draw(key, k, e, int(a)) for k, e, a in zip(batch["kind"], batch["entity"], batch["attempt"])]
-            yield batch[["kind", "entity", "attempt"]].assign(surrogate=made)
+            made = [draw(key, k, e, int(a), None if w is None else bool(w)) for k, e, a, w in zip(batch["kind"], batch["entity"], batch["attempt"], batch["woman"].astype(object).where(batch["woman"].notna(), None))]
+            yield batch[["kind", "entity", "attempt", "woman"]].assign(surrogate=made)
 
     return run
 
 
-_DRAWN = "kind string, entity string, attempt int, surrogate string"
+_DRAWN = "kind string, entity string, attempt int, woman boolean, surrogate string"
 
 
-def assign(entities: DataFrame, key: bytes, rounds: int = 20) -> DataFrame:
-    """(kind, entity, surrogate) with no two entities of a kind sharing a surrogate and none being a real entity.
+def assign(entities: DataFrame, key: bytes, rounds: int = 16) -> DataFrame:
+    """(kind, entity, surrogate) of (kind, entity, woman): no two entities of a kind share a surrogate, and as far as there is room none is a real entity.
 
-    All entities draw at once; a distributed check finds the draws that collide,
-    of which the least entity keeps its own and the others draw again.
+    All draw at once; a distributed check finds draws that collide, of which the least
+    entity keeps its own, and those that are real entities; these draw again, and
+    may then take nothing that anybody drew at first. Numbers are permuted, so that first
+    draws never collide: where nearly all numbers of a format are in use they keep them
+    after the last round, though somebody really has that number.
     """
-    entities = entities.distinct()
-    made = cut(entities.withColumn("attempt", F.lit(0)).mapInPandas(_draws(key), _DRAWN))
-    for _ in range(rounds):
-        real = entities.select("kind", F.col("entity").alias("surrogate"), F.lit(True).alias("real"))
-        shared = made.groupBy("kind", "surrogate").agg(F.min("entity").alias("keeper"), F.count(F.lit(1)).alias("n"))
-        bad = shared.join(real, ["kind", "surrogate"], "left").where((F.col("n") > 1) | F.col("real")).select("kind", "surrogate", F.when(F.col("real"), F.lit("")).otherwise(F.col("keeper")).alias("keeper"))
-        again = cut(made.join(bad, ["kind", "surrogate"]).where(F.col("entity") != F.col("keeper")).select("kind", "entity", (F.col("attempt") + 1).alias("attempt")))
-        if not again.limit(1).count():
-            return made.select("kind", "entity", "surrogate")
-        redrawn = again.mapInPandas(_draws(key), _DRAWN)
-        made = cut(made.join(again.select("kind", "entity"), ["kind", "entity"], "left_anti").select("kind", "entity", "attempt", "surrogate").unionByName(redrawn))
-    raise RuntimeError("surrogates still collide")
-
-
-def _rewrite(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        redacted, surrogate, types = [], [], []
-        for text, found, made in zip(batch["text"], batch["mentions"], batch["made"]):
-            known = {(m["kind"], m["entity"]): m["surrogate"] for m in made}
-            plain, secret, at, seen = [], [], 0, {}
-            for m in sorted(found, key=lambda m: m["start"]):
-                own = [(p["kind"], p["entity"], known[p["kind"], p["entity"]]) for p in m["parts"] if (p["kind"], p["entity"]) in known]
-                new = render(text[m["start"] : m["stop"]], m["pii_type"], own)
-                plain += [text[at : m["start"]], f"[{m['pii_type']}]"]
-                secret += [text[at : m["start"]], new]
-                at = m["stop"]
-                if own and new != text[m["start"] : m["stop"]]:
-                    seen[m["pii_type"]] = None
-            redacted.append("".join([*plain, text[at:]]))
-            surrogate.append("".join([*secret, text[at:]]))
-            types.append(list(seen))
-        yield batch[["src_table", "row_id"]].assign(redacted=redacted, surrogate=surrogate, pii_types=types)
-
-
-def pseudonymise(docs: DataFrame, name_parts: DataFrame | None = None, everything: bool = False, key: bytes = b"stewardry") -> DataFrame:
+    first = cut(entities.withColumn("attempt", F.lit(0)).mapInPandas(_draws(key), _DRAWN))
+    real = entities.select("kind", F.col("entity").alias("surrogate"))
+    taken = first.select("kind", "surrogate").unionByName(real).distinct()
+    marked = first.join(real.withColumn("is_real", F.lit(True)), ["kind", "surrogate"], "left")
+    keeper = first.groupBy("kind", "surrogate").agg(F.min("entity").alias("keeper"))
+    checked = cut(marked.join(keeper, ["kind", "surrogate"]).select("kind", "entity", "woman", "attempt", "surrogate", F.coalesce("is_real", F.lit(False)).alias("is_real"), (F.col("entity") != F.col("keeper")).alias("shared")))
+    good = [checked.where("NOT is_real AND NOT shared").select("kind", "entity", "surrogate")]
+    bad = checked.where("is_real OR shared")
+    again = []
+    for k in range(1, rounds + 1):
+        if not bad.limit(1).count():
+            break
+        drawn = cut(bad.select("kind", "entity", "woman", F.lit(k).alias("attempt")).mapInPandas(_draws(key), _DRAWN))
+        known = [taken, *[a.select("kind", "surrogate") for a in again]]
+        fresh = drawn
+        for some in known:
+            fresh = fresh.join(some, ["kind", "surrogate"], "left_anti")
+        won = cut(fresh.groupBy("kind", "surrogate").agg(F.min("entity").alias("entity")).select("kind", "entity", "surrogate"))
+        again.append(won)
+        bad = cut(bad.join(won.select("kind", "entity"), ["kind", "entity"], "left_anti"))
+    if bad.where("shared").limit(1).count():
+        raise RuntimeError("surrogates still collide")
+    return reduce(DataFrame.unionByName, [*good, *again, bad.select("kind", "entity", "surrogate")])
+
+
+def _rewrite(key: bytes):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            redacted, surrogate, types = [], [], []
+            for text, found, made in zip(batch["text"], batch["mentions"], batch["made"]):
+                known = {(m["kind"], m["entity"]): m["surrogate"] for m in made}
+                plain, secret, at, seen = [], [], 0, {}
+                for m in sorted(found, key=lambda m: m["start"]):
+                    own = [(p["kind"], p["entity"], known[p["kind"], p["entity"]]) for p in m["parts"] if (p["kind"], p["entity"]) in known]
+                    plain += [text[at : m["start"]], f"[{m['pii_type']}]"]
+                    secret += [text[at : m["start"]], render(text[m["start"] : m["stop"]], m["pii_type"], own, key)]
+                    at = m["stop"]
+                    if own:
+                        seen[m["pii_type"]] = None
+                redacted.append("".join([*plain, text[at:]]))
+                surrogate.append("".join([*secret, text[at:]]))
+                types.append(list(seen))
+            yield batch[["src_table", "row_id"]].assign(redacted=redacted, surrogate=surrogate, pii_types=types)
+
+    return run
+
+
+def pseudonymise(docs: DataFrame, key: bytes, name_parts: DataFrame | None = None, everything: bool = False) -> DataFrame:
     """(src_table, row_id, redacted, surrogate, pii_types) of the texts with mentions, or of all texts; those without stay as they are.
 
+    Whoever has ``key`` can do the mapping again, so keep it as secret as the texts.
     Entities are counted map-side before anything is shuffled; the way back is one
     join on the entity, frequent ones by broadcast, and one grouping per text.
     """
+    if not key:
+        raise ValueError("surrogates need a secret key")
     scanned = cut(mentions(docs, name_parts, everything))
     found = scanned.where(F.size("mentions") > 0)
     parts_of = F.transform("mentions", lambda m: m["parts"])
     keyed = found.withColumn("text_key", F.md5(F.encode("text", "utf-8")))
-    used = keyed.select("text_key", F.explode(F.array_distinct(F.flatten(parts_of))).alias("p")).select("text_key", "p.kind", "p.entity")
-    counted = cut(used.groupBy("kind", "entity").agg(F.count(F.lit(1)).alias("n")))
-    made = cut(assign(counted.select("kind", "entity"), key).join(counted, ["kind", "entity"]))
-    per_text = join_hot(used, made, ["kind", "entity"], "n").groupBy("text_key").agg(F.collect_set(F.struct("kind", "entity", "surrogate")).alias("made"))
+    used = keyed.select("text_key", F.explode(F.array_distinct(F.flatten(parts_of))).alias("p")).select("text_key", "p.kind", "p.entity", "p.hint")
+    # what titles say of a given name anywhere holds everywhere, so that one person has one surrogate
+    woman = F.when(F.sum("hint") > 0, True).when(F.sum("hint") < 0, False)
+    counted = cut(used.groupBy("kind", "entity").agg(F.count(F.lit(1)).alias("n"), woman.alias("woman")))
+    made = cut(assign(counted.select("kind", "entity", "woman"), key).join(counted.select("kind", "entity", "n"), ["kind", "entity"]))
+    per_text = join_hot(used.drop("hint"), made, ["kind", "entity"], "n").groupBy("text_key").agg(F.collect_set(F.struct("kind", "entity", "surrogate")).alias("made"))
     ready = keyed.join(per_text, "text_key").select("src_table", "row_id", "text", "mentions", "made")
-    rewritten = ready.mapInPandas(_rewrite, "src_table string, row_id string, redacted string, surrogate string, pii_types array<string>")
+    rewritten = ready.mapInPandas(_rewrite(key), "src_table string, row_id string, redacted string, surrogate string, pii_types array<string>")
     if not everything:
         return rewritten
     same = scanned.where(F.coalesce(F.size("mentions"), F.lit(0)) <= 0)

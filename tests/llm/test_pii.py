@@ -47,7 +47,7 @@ def test_surrogates_keep_kind_layout_and_identity(spark):
     ]
     docs = spark.createDataFrame(rows, "src_table string, row_id string, text string, mentions string")
     names = spark.createDataFrame([("Ravi", "given"), ("Vantoll", "family"), (None, "family"), ("Müllendorf", None)], "part string, kind string")
-    out = pii.pseudonymise(docs, names, everything=True).collect()
+    out = pii.pseudonymise(docs, b"k", names, everything=True).collect()
     assert len(out) == len(rows)
     by = {(r.src_table, r.row_id): r for r in out}
     assert by["a", "1"].redacted == "Signed by [NAME]. Call [PHONE]."
@@ -58,17 +58,67 @@ def test_surrogates_keep_kind_layout_and_identity(spark):
     assert by["b", "1"].surrogate.startswith("Mail ") and by["b", "1"].surrogate.split()[1].endswith(".example")
     assert by["b", "2"].redacted is None and by["b", "3"].redacted == ""
     assert by["b", "4"].redacted == "[PHONE]" and by["b", "4"].surrogate != rows[8][2]
-    found = {tuple(r) for r in pii.types_found(pii.pseudonymise(docs, names)).collect()}
+    found = {tuple(r) for r in pii.types_found(pii.pseudonymise(docs, b"k", names)).collect()}
     assert ("b", "1", "EMAIL") in found and len(found) == 8
-    assert pii.pseudonymise(docs.limit(0), names).count() == 0
+    assert pii.pseudonymise(docs.limit(0), b"k", names).count() == 0
 
 
-def test_distinct_entities_stay_distinct(spark, monkeypatch):
-    entities = spark.createDataFrame([("family", f"name{i}") for i in range(300)] + [("phone", f"{i:03d}") for i in range(300)], "kind string, entity string")
+def test_distinct_entities_stay_distinct(spark):
+    entities = spark.createDataFrame([("family", f"name{i}", None) for i in range(300)] + [("phone", f"{i:03d}", None) for i in range(300)], "kind string, entity string, woman boolean")
     made = pii.assign(entities, b"key").collect()
     assert len(made) == 600 == len({(r.kind, r.surrogate) for r in made})
     assert not {(r.kind, r.surrogate) for r in made} & {(r.kind, r.entity) for r in made}
     assert {tuple(r) for r in made} == {tuple(r) for r in pii.assign(entities, b"key").collect()}  # keyed, so repeatable
+    full = spark.createDataFrame([("id", f"{i:02d}", None) for i in range(100)], "kind string, entity string, woman boolean")
+    made = pii.assign(full, b"key", rounds=2).collect()  # no number is free, yet all stay apart
+    assert len({r.surrogate for r in made}) == 100
+
+
+def test_permutations():
+    for texts in ([f"{i:03d}" for i in range(1000)], [f"{a}{i}" for a in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" for i in range(10)], [str(i) for i in range(10)]):
+        made = {pii.permuted(b"k", t) for t in texts}
+        assert made == set(texts)
+    assert pii.permuted(b"k", "Y83-x") != pii.permuted(b"l", "Y83-x") and pii.permuted(b"k", "") == ""
+
+
+def surrogates(spark, texts, names=(), key=b"k"):
+    docs = spark.createDataFrame([("t", str(i), t) for i, t in enumerate(texts)], "src_table string, row_id string, text string")
+    listed = spark.createDataFrame(list(names) or [("Ravi", "given")], "part string, kind string")
+    return {int(r.row_id): r.surrogate for r in pii.pseudonymise(docs, key, listed, everything=True).collect()}
+
+
+def test_addresses_stay_apart_as_they_stand_in_the_text(spark):
+    boxes = surrogates(spark, [f"Write to P.O. Box {i}, please." for i in range(10, 100)])
+    assert len(set(boxes.values())) == 90 and all(v.startswith("Write to P.O. Box ") for v in boxes.values())
+    made = surrogates(spark, ["It is 12 Mill Lane, Oxgate.", "It is 14 Mill Lane, Oxgate.", "It is 12 mill lane, oxgate."])
+    street = [v.split(" ", 3)[3] for v in made.values()]
+    assert street[0] == street[1] and street[2] == street[0].lower() and made[0] != made[1] and " Lane, " in made[0] and "Mill" not in made[0]
+
+
+def test_one_person_has_one_surrogate(spark):
+    names = [("Andrea", "given"), ("John", "given"), ("Rossi", "family"), ("Smith", "family")]
+    made = surrogates(spark, ["My name is Mr Andrea Rossi.", "My name is Andrea Rossi.", "My name is J. Smith.", "My name is John Smith.", "Signed by Smith, J."], names)
+    assert made[0].removeprefix("My name is Mr ") == made[1].removeprefix("My name is ")
+    given, family = made[3].removeprefix("My name is ").rstrip(".").split(" ")
+    assert made[2] == f"My name is {given[0]}. {family}." and given[0] != "J"
+    assert made[4].startswith(f"Signed by {family}, {given[0]}")
+
+
+def test_scripts_and_genders():
+    import unicodedata
+
+    for entity, script in (("παπαδοπουλος", "GREEK"), ("иванов", "CYRILLIC"), (pii.fold("김민준"), "HANGUL"), ("田中", "CJK"), ("smith", "LATIN")):
+        for kind in ("family", "given"):
+            assert all(unicodedata.name(c).startswith(script) for c in pii.draw(b"k", kind, entity, 0)), entity
+    ends = lambda name, woman=None: pii.draw(b"k", "given", name, 0, woman)[-1] in "ae"
+    assert ends("ingrid") and ends("maria") and not ends("luca") and not ends("thomas") and ends("robin", True) and not ends("robin", False)
+
+
+def test_a_key_is_required(spark):
+    docs = spark.createDataFrame([("t", "1", "a@b.example")], "src_table string, row_id string, text string")
+    with pytest.raises(ValueError):
+        pii.pseudonymise(docs, b"")
+    assert surrogates(spark, ["a@b.example"], key=b"1") != surrogates(spark, ["a@b.example"], key=b"2")
 
 
 @pytest.mark.parametrize(
