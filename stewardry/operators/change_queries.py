@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,8 @@ from stewardry.operators import dml
 from stewardry.operators import relational as R
 from stewardry.operators.ownership_queries import catalog, tables
 from stewardry.plans import ddl, delta
-from stewardry.runtime import read
+from stewardry.runtime import ensure_checkpoint_dir, read
+from stewardry.session import Engine
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -72,16 +74,22 @@ def _distinct_after(rows: DataFrame, d: DataFrame) -> DataFrame:
     return delta.apply(narrow.distinct(), delta.distinct(narrow, delta.select(d, "user_id", "story_id")))
 
 
+def _later(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A table as it was before June 2024 and what has been added since."""
+    new = F.coalesce(F.expr(_NEW), F.lit(False))
+    return df.where(~new), delta.weighted(df.where(new))
+
+
 def _join_after(rows: DataFrame, d: DataFrame, t) -> DataFrame:
     left, change = rows.select("id", "story_id"), delta.select(d, "id", "story_id")
-    right = t("stories").select(F.col("id").alias("story_id"), "title")
-    return delta.apply(left.join(right, "story_id"), delta.join(left, change, right, delta.weighted(right).limit(0), "story_id"))
+    right, added = (x.withColumnRenamed("id", "story_id").select("story_id", "title", *{delta.W} & set(x.columns)) for x in _later(t("stories")))
+    return delta.apply(left.join(right, "story_id"), delta.join(left, change, right, added, "story_id"))
 
 
 def _left_after(rows: DataFrame, d: DataFrame, t) -> DataFrame:
-    hats = t("hats").select(F.col("id").alias("hat_id"), "hat")
+    hats, added = (x.withColumnRenamed("id", "hat_id").select("hat_id", "hat", *{delta.W} & set(x.columns)) for x in _later(t("hats")))
     change, right = delta.select(d, "id", "hat_id"), rows.select("id", "hat_id")
-    return delta.apply(hats.join(right, "hat_id", "left"), delta.outer_join(hats, delta.weighted(hats).limit(0), right, change, "hat_id"))
+    return delta.apply(hats.join(right, "hat_id", "left"), delta.outer_join(hats, added, right, change, "hat_id"))
 
 
 def _aggregate_after(rows: DataFrame, d: DataFrame, groups: list[str]) -> DataFrame:
@@ -108,3 +116,36 @@ SELECT story_id, n, CAST(-1 AS BIGINT) AS _w FROM (FROM old EXCEPT FROM new) UNI
 _maintained("DELTA_distinct", "SELECT DISTINCT user_id, story_id FROM NOW", lambda rows, d, t: _distinct_after(rows, d))
 _maintained("DELTA_union", "SELECT id FROM NOW UNION ALL SELECT id FROM stories", lambda rows, d, t: delta.apply(R.union(rows.select("id"), t("stories").select("id")), delta.select(d, "id")))
 _maintained("DELTA_top_per_key", "SELECT story_id, upvotes, id FROM NOW QUALIFY row_number() OVER (PARTITION BY story_id ORDER BY upvotes DESC NULLS LAST, id) <= 3", lambda rows, d, t: _top_after(rows, d))
+
+
+# --- stored views of the engine: loaded, changed by a statement, and read from what is stored -----------------------
+
+_FORUM = """CREATE DATA_SUBJECT TABLE person (id INT PRIMARY KEY);
+CREATE TABLE remark (id INT PRIMARY KEY, who INT OWNED_BY person(id), story INT, up INT);
+CREATE VIEW liked AS '"SELECT id, who, story, up FROM remark WHERE up > 1"';
+CREATE VIEW per_story AS '"SELECT story, COUNT(*) AS n, SUM(up) AS up FROM liked GROUP BY story"';
+CREATE VIEW busy AS '"SELECT r.id, r.who, p.n FROM liked r JOIN per_story p ON r.story = p.story WHERE p.n > 2"'"""
+_REMARKS = "remark AS (SELECT DISTINCT id, user_id AS who, story_id AS story, upvotes AS up FROM comments WHERE id IS NOT NULL AND user_id IS NOT NULL)"
+_BUSY = """liked AS (SELECT * FROM after WHERE up > 1), per_story AS (SELECT story, count(*) AS n FROM liked GROUP BY 1)
+SELECT r.id, r.who, p.n FROM liked r JOIN per_story p USING (story) WHERE p.n > 2"""
+
+
+def _stored(name: str, statement: str, after: str) -> None:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ensure_checkpoint_dir(spark)
+        engine = Engine(spark, f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/engine-{uuid.uuid4()}")
+        engine.script(_FORUM)
+        rows = read(spark, sf_dir, "comments").where("id IS NOT NULL AND user_id IS NOT NULL")
+        engine.load("person", rows.select(F.col("user_id").alias("id")).distinct())
+        engine.load("remark", rows.select("id", F.col("user_id").alias("who"), F.col("story_id").alias("story"), F.col("upvotes").alias("up")).distinct())
+        engine.materialise("busy")
+        engine.sql(statement)
+        return engine.sql("SELECT * FROM busy").df
+
+    QUERIES[name], SQL[name] = query, f"WITH {_REMARKS}, after AS ({after}), {_BUSY}"
+
+
+_stored("D1_stored_view", "INSERT INTO remark VALUES (99999999, 3, 1, 50)", "FROM remark UNION ALL SELECT 99999999, 3, 1, 50")
+_stored("D3_stored_view", "UPDATE remark SET up = up - 2 WHERE who = 3", "SELECT id, who, story, CASE WHEN who = 3 THEN coalesce(up, 0) - 2 ELSE up END AS up FROM remark")
+_stored("D4_stored_view", "DELETE FROM remark WHERE story = 1", "FROM remark WHERE story IS DISTINCT FROM 1")
+_stored("G24_stored_view", "GDPR FORGET person 3", "FROM remark WHERE who <> 3")
