@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stewardry.llm import bitmaps
-from stewardry.runtime import read
+from stewardry.runtime import ensure_checkpoint_dir, read
 
 BOTH = ["day", "story_id"]
 
@@ -51,11 +53,28 @@ def p2_returning(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _day(bitmaps.count(bitmaps.intersect(days, before, ["day"]), ["day"], "n_returning"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_day_story": p2_day_story, "p2_day": p2_day, "p2_story": p2_story, "p2_returning": p2_returning}
+def p2_two_builds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bitmaps of two runs, each stored as files: the second one extends the dictionary of the first, and OR merges what both have."""
+    comments = read(spark, sf_dir, "comments").select("story_id", "user_id", "created_at")
+    early = F.coalesce(F.col("created_at") < F.lit("2024-01-01").cast("timestamp_ntz"), F.lit(True))
+    ensure_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/bitmaps-{uuid.uuid4()}"
+    codes = None
+    for k, part in enumerate((comments.where(early), comments.where(~early))):
+        made = bitmaps.dictionary(part, "user_id") if codes is None else bitmaps.extend(codes, part, "user_id")
+        made.write.parquet(f"{folder}/codes-{k}")
+        codes = spark.read.parquet(f"{folder}/codes-{k}")
+        bitmaps.build(part, ["story_id"], "user_id", codes).write.parquet(f"{folder}/stories-{k}")
+    stored = spark.read.parquet(f"{folder}/stories-0").unionByName(spark.read.parquet(f"{folder}/stories-1"))
+    return bitmaps.count(bitmaps.merge(stored, ["story_id"]), ["story_id"], "n_users")
+
+
+QUERIES = {"p2_found": p2_found, "p2_day_story": p2_day_story, "p2_day": p2_day, "p2_story": p2_story, "p2_returning": p2_returning, "p2_two_builds": p2_two_builds}
 
 _FACTS = "(SELECT strftime(created_at, '%Y-%m-%d') AS day, CAST(created_at AS DATE) AS d, story_id, user_id FROM comments WHERE user_id IS NOT NULL)"
 
 SQL = {
+    "p2_two_builds": "SELECT story_id, count(DISTINCT user_id) AS n_users FROM comments WHERE user_id IS NOT NULL GROUP BY 1",
     "p2_found": f"SELECT day, story_id FROM {_FACTS} WHERE day IS NOT NULL AND story_id IS NOT NULL GROUP BY 1, 2 HAVING count(DISTINCT user_id) >= 30",
     "p2_day_story": f"SELECT day, story_id, count(DISTINCT user_id) AS n_distinct FROM {_FACTS} GROUP BY 1, 2",
     "p2_day": f"SELECT day, count(DISTINCT user_id) AS n_distinct FROM {_FACTS} GROUP BY 1",

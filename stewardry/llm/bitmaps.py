@@ -5,6 +5,8 @@ share words. Per group a bitmap is cut into buckets of 65,536 bits; a bucket
 keeps its non-zero 64-bit words only. Bitmaps of parts of the data merge by OR,
 sets of groups intersect by AND, and counting bits is the exact answer.
 
+A dictionary is only ever extended, so that bitmaps of different days and runs merge.
+
 Defined cases: null identifiers are never counted, and a group without any
 other has no bitmap; null group values form groups of their own; repeated rows
 change nothing; an empty table gives no bitmaps; further columns are ignored.
@@ -44,6 +46,16 @@ def dictionary(df: DataFrame, identifier: str) -> DataFrame:
     return coded.select("identifier", (F.col("base") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).alias("code"))
 
 
+def extend(codes: DataFrame, df: DataFrame, identifier: str) -> DataFrame:
+    """The dictionary with the identifiers of ``df`` that it lacks, behind all others: codes once given stay, so stored bitmaps go on to hold.
+
+    Of an extended dictionary the first ``HOT`` codes are the heaviest of the first run; a new heavy identifier is left to adaptive execution.
+    """
+    known = df.where(F.col(identifier).isNotNull()).select(F.col(identifier).alias("identifier")).join(codes.select("identifier"), "identifier", "left_anti")
+    first = codes.agg((F.coalesce(F.max("code"), F.lit(-1)) + 1).alias("first")).first()[0]
+    return codes.unionByName(dictionary(known, "identifier").withColumn("code", F.col("code") + F.lit(first)))
+
+
 def encode(df: DataFrame, identifier: str, codes: DataFrame) -> DataFrame:
     """Adds ``code`` to the rows with a known identifier. The ``HOT`` heaviest identifiers, which would fill
     single tasks, are looked up in a broadcast table of fixed size; no other has more than 1/HOT of the rows."""

@@ -50,6 +50,8 @@ class Node:
     inner: tuple[int, int] = (0, 0)
     children: list[Node] = field(default_factory=list)
     label: str = ""
+    #: The text that the children's places refer to, where it is not the page's, as in quotes, whose lines have marks in front.
+    within: str | None = None
 
 
 # --- parsing -------------------------------------------------------------------
@@ -66,7 +68,7 @@ _BLOCK = re.compile(
   | (?P<w_source><(?P<so>syntaxhighlight|source)\b[^>/]*>(?P<i_source>.*?)(?:</(?P=so)\s*>|\Z))
   | (?P<h_math><math\b[^>]*>(?P<i_math>.*?)(?:</math\s*>|\Z))
   | (?P<h_mathspan><(?P<ms>span|div)\s+class\s*=\s*["']?math\b[^>]*>(?P<i_mathspan>.*?)(?:</(?P=ms)\s*>|\Z))
-  | (?P<h_head><h(?P<hl>[1-6])\b[^>]*>(?P<i_hhead>.*?)(?:</h(?P=hl)\s*>|\Z))
+  | (?P<h_head><h(?P<hl>[1-6])\b[^>]*>(?:(?P<i_hhead>(?:(?!<h[1-6]\b).)*?)</h(?P=hl)\s*>|(?P<i_hopen>[^\n]*?)(?=\n|<(?:p|div|h[1-6]|ul|ol|dl|table|pre|br)\b|\Z)))
   | (?P<h_list><(?P<ul>ul|ol|dl)\b[^>]*>(?P<i_hlist>.*?)(?:</(?P=ul)\s*>|(?=\n\n)|\Z))
   | (?P<t_env>\\begin\{(?P<env>\w+)\*?\}(?P<i_env>.*?)(?:\\end\{(?P=env)\*?\}|\Z))
   | (?P<t_head>\\(?:part|chapter|(?:sub){0,2}section|(?:sub)?paragraph)\*?(?:\[[^\]\n]*\])?\{(?P<i_thead>(?:[^{}\n]|\{[^{}\n]*\})*)(?:\}|\Z))
@@ -170,21 +172,61 @@ _INNER = {"h_pre": "i_pre", "w_source": "i_source", "h_math": "i_math", "h_maths
           "m_fence": "i_fence", "f_dd": "i_dd", "f_br": "i_br", "f_par": "i_par", "f_d": "i_d", "w_head": "i_whead", "m_setext": "i_setext"}
 
 
-#: Levels of blocks in blocks; what stands deeper has inline marks only.
-_DEPTH = 6
+#: Levels of blocks in blocks; what stands deeper has inline marks only. Levels of HTML tags in tags; deeper ones are leaves.
+_DEPTH, _TAG_DEPTH = 6, 24
+_LIST_TAG = re.compile(r"<(/?)(?:ul|ol|dl)\b[^>]*>", re.I)
+_TAG = re.compile(r"<(/?)([a-z][\w:-]*)[^<>]*?(/?)>", re.I)
+_VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+_QUOTE_MARK = re.compile(r"^[ ]{0,3}>[ ]?", re.M)
 
 
-def parse(text: str, a: int = 0, b: int | None = None, blocks: re.Pattern = _BLOCK, items: bool = False, depth: int = 0) -> list[Node]:
+def _closed_lists(text: str) -> dict[int, tuple[int, int]]:
+    """By the place of a list's opening tag, the span of the closing tag that belongs to it."""
+    out, open_ = {}, []
+    for m in _LIST_TAG.finditer(text):
+        if not m.group(1):
+            open_.append(m.start())
+        elif open_:
+            out[open_.pop()] = m.span()
+    return out
+
+
+def _nested(nodes: list[Node], text: str) -> list[Node]:
+    """HTML tags with what stands between them as their children: the tree that the page's own tags describe."""
+    out: list[Node] = []
+    open_: list[tuple[str, int]] = []
+    for n in nodes:
+        m = _TAG.fullmatch(text, n.start, n.end) if n.seen == "h_tag" else None
+        name = m.group(2).lower() if m else ""
+        if m and m.group(1):
+            at = next((k for k in range(len(open_) - 1, -1, -1) if open_[k][0] == name), None)
+            if at is not None:
+                holder = out[open_[at][1]]
+                holder.children, holder.inner, holder.end = out[open_[at][1] + 1 :], (holder.end, n.start), n.end
+                del out[open_[at][1] + 1 :], open_[at:]
+                continue
+        elif m and not m.group(3) and name not in _VOID and len(open_) < _TAG_DEPTH:
+            open_.append((name, len(out)))
+        out.append(n)
+    return out
+
+
+def parse(text: str, a: int = 0, b: int | None = None, blocks: re.Pattern = _BLOCK, items: bool = False, depth: int = 0, lists: dict | None = None) -> list[Node]:
     """The top nodes of a text's (or a span's) tree, in order."""
     out: list[Node] = []
     at, b = a, len(text) if b is None else b
-    for m in blocks.finditer(text, a, b):
-        kind = m.lastgroup
+    if lists is None:
+        lists = _closed_lists(text)
+    while m := blocks.search(text, at, b):
+        kind, end = m.lastgroup, m.end()
         out += _inline(text, at, m.start(), items)
-        at = m.end()
         inner = m.span(_INNER[kind]) if kind in _INNER else m.span()
+        if kind == "h_head" and inner[0] < 0:
+            inner = m.span("i_hopen")
+        if kind == "h_list" and (close := lists.get(m.start())) and close[1] <= b:
+            inner, end = (inner[0], close[0]), close[1]
         if inner[0] < 0:
-            inner = (m.end(), m.end())
+            inner = (end, end)
         seen = kind
         if kind == "t_env":
             env = m.group("env")
@@ -193,16 +235,20 @@ def parse(text: str, a: int = 0, b: int | None = None, blocks: re.Pattern = _BLO
             seen = "f_d" if _WORDY.search(m.group("i_d")) else "f_d_words"
         elif kind in {"hash", "bullets", "tight"}:
             seen = _shape_of_lines(m.group(), kind)
-        node = Node(seen, m.start(), m.end(), inner)
-        if kind not in {"h_comment", "h_script", "w_table", "m_table", "m_hr", "m_fndef"}:
+        node = Node(seen, m.start(), end, inner)
+        if kind == "m_quote" and depth < _DEPTH:
+            node.within = _QUOTE_MARK.sub("", m.group())
+            node.children = parse(node.within, depth=depth + 1)
+        elif kind not in {"h_comment", "h_script", "w_table", "m_table", "m_hr", "m_fndef"}:
             listed = seen in {"h_list", "t_list"}
             if seen in _HOLDERS and depth < _DEPTH:
-                inside = parse(text, *inner, _BLOCK if seen == "t_env" else _LOOSE, listed, depth + 1)
+                inside = parse(text, *inner, _BLOCK if seen == "t_env" else _LOOSE, listed, depth + 1, lists)
             else:
                 inside = _inline(text, *inner, listed)
             node.children = [x for x in inside if not (kind == "h_pre" and _PRE_CODE.fullmatch(text[x.start : x.end]))]
         out.append(node)
-    return out + _inline(text, at, b, items)
+        at = max(end, at + 1) if end == m.start() else end
+    return _nested(out + _inline(text, at, b, items), text)
 
 
 # --- the model -----------------------------------------------------------------
@@ -440,10 +486,14 @@ def train(pages: int = 6000, seed: int = 11, smooth: float = 0.02) -> Model:
         s = r.choice(SYNTAXES)
         block, e = _block(r, s)
         holder, around = r.choice({
-            "html": (("list", "<ul><li>{}</li></ul>"),), "md": (("list", "- so {} it"), ("other", "> so {} it")),
+            "html": (("list", "<ul><li>{}</li></ul>"), ("other", "<div>{}</div>"), ("other", "<td>{}</td>")), "md": (("list", "- so {} it"), ("other", "> so {} it"), ("other", "> {}")),
             "wiki": (("list", "* so {} it"),), "tex": (("list", "\\begin{{itemize}}\n\\item {}\n\\end{{itemize}}"), ("other", "\\begin{{document}}\n{}\n\\end{{document}}")),
         }[s])
-        if e == "text" or s in {"md", "wiki"} and "\n" in block:
+        if around == "> {}":
+            block = block.replace("\n", "\n> ")
+        elif s in {"md", "wiki"} and "\n" in block:
+            continue
+        if e == "text":
             continue
         for n in parse(around.format(block)):
             for c in n.children:
@@ -462,6 +512,11 @@ _INLINE_SEEN = frozenset((*_INLINE_KINDS, "h_tag_item", "h_tag_word"))
 # --- clean text -------------------------------------------------------------------
 
 
+def _tag_text(raw: str) -> str:
+    """What an HTML tag leaves behind: a line's or a cell's end, or nothing."""
+    return "\n" if re.match(r"</?(?:br|p|div|tr|table|blockquote)\b", raw, re.I) else " " if re.match(r"</t[dh]", raw, re.I) else ""
+
+
 def _strip(text: str, n: Node) -> str:
     """The readable part of an inline mark or of another element."""
     raw = text[n.start : n.end]
@@ -472,7 +527,7 @@ def _strip(text: str, n: Node) -> str:
     if n.seen == "h_ent":
         return html.unescape(raw)
     if n.seen.startswith("h_tag"):
-        return "\n" if re.match(r"</?(?:br|p|div|tr|table|blockquote)\b", raw, re.I) else " " if re.match(r"</t[dh]", raw, re.I) else ""
+        return _tag_text(raw)
     if n.seen in {"m_link", "m_ref"}:
         return re.match(r"!?\[([^\]]*)\]", raw).group(1)
     if n.seen == "w_link":
@@ -500,7 +555,12 @@ def _strip(text: str, n: Node) -> str:
 def _span(text: str, a: int, b: int, nodes: list[Node]) -> str:
     out, at = [], a
     for n in nodes:
-        if n.label == "text" or n.start < at:
+        if n.start < at or n.label == "text" and (not n.children or n.within is not None):
+            continue
+        if n.label == "text":  # a mark that is none may hold some that are
+            a, at_end = max(at, n.inner[0]), n.inner[1]
+            out += [text[at:a], _span(text, a, at_end, n.children)]
+            at = at_end
             continue
         out += [text[at : n.start], _render(text, n)]
         at = n.end
@@ -519,6 +579,10 @@ def _render(text: str, n: Node) -> str:
         if n.seen == "m_indent":
             body = re.sub(r"^(?: {4}|\t)", "", body, flags=re.M)
         return "\n```\n" + body.strip("\n") + "\n```\n"
+    if n.seen.startswith("h_tag") and (a, b) != (n.start, n.end):
+        return _tag_text(text[n.start : a]) + _span(text, a, b, n.children) + _tag_text(text[b : n.end])
+    if n.within is not None:
+        return _span(n.within, 0, len(n.within), n.children)
     inside = _span(text, a, b, n.children)
     if n.label == "heading":
         if n.seen.startswith("hash"):
@@ -534,9 +598,9 @@ def _render(text: str, n: Node) -> str:
     return _strip(text, n)
 
 
-def clean(model: Model, text: str) -> str:
-    """Clean text: headings as ``# ``, items as ``- ``, fenced code, formulas in dollars, everything else as plain words."""
-    nodes = decide(model, parse(text))
+def clean(model: Model, text: str, nodes: list[Node] | None = None) -> str:
+    """Clean text: headings as ``# ``, items as ``- ``, fenced code, formulas in dollars, everything else as plain words. ``nodes``: its decided tree, if known."""
+    nodes = decide(model, parse(text)) if nodes is None else nodes
     made = _span(text, 0, len(text), nodes)
     return re.sub(r"\n{3,}", "\n\n", made).strip("\n") if nodes else made
 
@@ -556,7 +620,7 @@ def _analyse(model: Model, cleaned: bool):
                 nodes = decide(model, parse(text))
                 found.append(sorted(elements(nodes)))
                 if cleaned:
-                    out.append(clean(model, text))
+                    out.append(clean(model, text, nodes))
             made = batch.drop_columns(["text_"]).append_column("elements", pa.array(found, pa.list_(pa.string())))
             yield made.append_column("clean", pa.array(out, pa.string())) if cleaned else made
 

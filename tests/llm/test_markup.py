@@ -87,3 +87,32 @@ def test_tables_nulls_repeats_and_clashing_names(spark):
     clean = {r.id: r.clean for r in markup.clean_texts(df, ["id"], "body").collect()}
     assert clean[2] is None and clean[3] == "" and clean[2**60 + 1] == "plain" and clean[None] == "use x" and clean[4] == "so x " * 20000
     assert markup.find_elements(df.limit(0), ["id"], "body").count() == 0
+
+
+@pytest.mark.parametrize(
+    "text,want,cleaned",
+    [
+        ("<ul><li>a<ul><li>b</li></ul></li><li>c</li></ul>", {"list"}, "- a\n- b\n- c"),
+        ("<ul><li>first <pre>x = 1</pre></li><li>two</li></ul>", {"list", "code"}, "- first \n```\nx = 1\n```\n- two"),
+        ("> # Title\n> - one\n> - two", {"heading", "list", "other"}, "# Title\n- one\n- two"),
+        ("<h1>Open heading\n\nbody one.\n\nbody two.", {"heading"}, "# Open heading\n\nbody one.\n\nbody two."),
+        ("<div><h2>T</h2><p>so</p></div>", {"heading", "other"}, "# T\n\nso"),
+    ],
+)
+def test_blocks_within_blocks(text, want, cleaned):
+    model = markup.train()
+    assert markup.elements(markup.decide(model, markup.parse(text))) == want
+    assert markup.clean(model, text) == cleaned
+
+
+def test_tags_hold_what_stands_between_them():
+    div, after = markup.parse("<div>one <b>two <i>three</i></b> four</div> <br>")
+    (bold,) = div.children
+    assert [c.seen for c in bold.children] == ["h_tag"] and after.children == [] and (div.start, div.end) == (0, 43)
+    deep = markup.parse("<div>" * 3000 + "x" + "</div>" * 3000 + "<ul>\n\n" * 3000)
+    markup.elements(markup.decide(markup.train(), deep))
+
+
+def test_lists_close_where_their_own_tag_is():
+    (outer,) = markup.parse("<ol><li>a<ul><li>b</li></ul></li></ol>")
+    assert outer.seen == "h_list" and outer.end == 38
