@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import secrets
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,12 +15,16 @@ from stewardry.runtime import free_name
 DEFAULT = "__default__"
 
 
+def _draw_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        yield batch.assign(key=[secrets.token_bytes(32) for _ in range(len(batch))])
+
+
 def new_keys(subjects: DataFrame, subject: str) -> DataFrame:
-    """(subject, key): a random 256-bit key per distinct subject and one for rows without. Store it before use: it is drawn anew each time."""
-    key = F.unhex(F.sha2(F.concat(F.uuid(), F.uuid()), 256))
+    """(subject, key): a 256-bit key from the system's secure source per distinct subject and one for rows without. Store it before use, in one place: it is drawn anew each time."""
     all_ = subjects.select(F.coalesce(F.col(subject).cast("string"), F.lit(DEFAULT)).alias("subject")).distinct()
     own = subjects.sparkSession.createDataFrame([(DEFAULT,)], "subject string")
-    return all_.unionByName(own).distinct().withColumn("key", key)
+    return all_.unionByName(own).distinct().mapInPandas(_draw_keys, "subject string, key binary")
 
 
 def _with_key(df: DataFrame, subject: str, keys: DataFrame) -> tuple[DataFrame, str]:

@@ -77,7 +77,7 @@ def orphans(catalog: Catalog, tables: dict[str, DataFrame], name: str) -> DataFr
 
 
 def ownership_index(catalog: Catalog, tables: dict[str, DataFrame], name: str, column: str) -> DataFrame:
-    """(_col, _shard, _c): for every value of a column the subjects whose shards hold rows with it, and how many ways lead there."""
+    """(_col, _shard, _c), names that are fixed: for every value of a column the subjects whose shards hold rows with it, and how many ways lead there."""
     owned = owned_tables(catalog)
     t, df = catalog.table(name), tables[name]
     ways = []
@@ -110,7 +110,7 @@ class Reached(NamedTuple):
     rows: DataFrame | None = None
 
 
-def reach(catalog: Catalog, tables: dict[str, DataFrame], kind: str, subject: object, max_rounds: int = 1000) -> dict[str, Reached]:
+def reach(catalog: Catalog, tables: dict[str, DataFrame], kind: str, subject: object) -> dict[str, Reached]:
     """By table: what one subject reaches; ``via`` names the foreign keys that lead to a row.
 
     Starts at the subject's own row and follows edges by semi-joins, so only what
@@ -150,7 +150,7 @@ def reach(catalog: Catalog, tables: dict[str, DataFrame], kind: str, subject: ob
     accessed: dict[str, DataFrame] = {}
     if any(e.access for e in every):
         frontier, allowed = dict(owned), True
-        for _ in range(max_rounds):
+        while frontier:  # ends, as every round adds rows that were not known or is the last
             fresh: dict[str, DataFrame] = {}
             for e in every:
                 if e.parent in frontier and (e.access or not allowed):
@@ -171,8 +171,6 @@ def reach(catalog: Catalog, tables: dict[str, DataFrame], kind: str, subject: ob
                     accessed[name] = new if known is None else known.unionByName(new)
                     grown[name] = new
             frontier, allowed = grown, False
-            if not grown:
-                break
     none = {n: _none(tables[n], catalog, n) for n in {*owned, *accessed}}
     return {n: Reached(owned.get(n, none[n]), accessed.get(n, none[n]), None if n in accessed else single.get(n)) for n in none}
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from stewardry.plans.catalog import ACCESSED_BY, ACCESSES, ONLY, OWNED_BY, OWNS, PLAIN, Catalog, CatalogError, ForeignKey, Table
+from stewardry.plans.catalog import ACCESSED_BY, ACCESSES, OWNED_BY, OWNS, PLAIN, Catalog, CatalogError, Table
 
 
 @dataclass(frozen=True)
@@ -166,16 +166,17 @@ def explain_compliance(catalog: Catalog) -> list[tuple[str, str, str, str]]:
     rows: list[tuple[str, str, str, str]] = []
     for t in catalog.tables.values():
         ways = chains(catalog, t.name)
+        # fixed values: the words for how a table is stored
         status = "DATASUBJECT AND SHARDED" if t.data_subject and ways else "DATASUBJECT" if t.data_subject else "SHARDED" if ways else "UNSHARDED"
         rows.append((t.name, status, "status", status))
         for w in ways:
-            how = "implicitly deduced" if w.edges[0].implicit else "explicit annotation"
+            how = "from a plain foreign key" if w.edges[0].implicit else "as declared"
             steps = " -> ".join(f"{e.parent}({e.column})" if e.reverse else f"{e.child}({e.column}) -> {e.parent}({catalog.table(e.parent).key})" for e in w.edges)
-            rows.append((t.name, status, "path", f"{w.edges[0].via} shards to {w.kind} at distance {len(w.edges)} ({how}) via {steps}"))
+            rows.append((t.name, status, "path", f"{w.edges[0].via} leads to {w.kind} at distance {len(w.edges)} ({how}) via {steps}"))
             if w.variable > 1:
                 rows.append((t.name, status, "severe", f"{w.variable} variable ownerships follow each other on the way to {w.kind}: the number of copies may multiply"))
         if ways and not t.data_subject and all(nullable(catalog, w) for w in ways):
-            rows.append((t.name, status, "warning", "all sharding paths are nullable, so rows may end up without an owner"))
+            rows.append((t.name, status, "warning", "every way to an owner may be null, so rows may have none"))
         if sum(w.edges[0].reverse for w in ways) > 1:
             rows.append((t.name, status, "warning", "the table has several variable ownerships"))
         if len(ways) > 2:
@@ -185,6 +186,3 @@ def explain_compliance(catalog: Catalog) -> list[tuple[str, str, str, str]]:
             rows.append((t.name, status, "warning", "columns that sound personal in a table nobody owns: " + ", ".join(names)))
     return rows
 
-
-def plain_edges(new: Table) -> list[ForeignKey]:
-    return [f for f in new.foreign_keys if f.kind in {PLAIN, ONLY}]
